@@ -82,6 +82,13 @@ def row_index(df: DataFrame, order_by: Sequence[SortKey], partition_by: Sequence
             .select(*df.columns, out))
 
 
+def rank_of(df: DataFrame, col: str, out: str, descending: bool = False, max_group: int | None = None) -> DataFrame:
+    """Rank of every row over the whole frame; equal values share the smallest place, NULL is last."""
+    order = F.col(col).desc_nulls_last() if descending else F.col(col).asc_nulls_last()
+    places = row_index(df.select(col), [order], out=out, max_group=max_group)
+    return attach(df, places.groupBy(col).agg(F.min(out).alias(out)), col)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     names: Sequence[str], max_group: int | None = None) -> DataFrame:
     """Exact quantiles per group, linear between neighbours; NULL values are left out."""

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def make_session() -> SparkSession:
     session = (SparkSession.builder.master("local[8]").appName("cohortloom-tests")
                .config("spark.sql.shuffle.partitions", "8")
-               .config("spark.ui.enabled", "false")
+               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "12g")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true")
