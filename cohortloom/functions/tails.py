@@ -32,9 +32,10 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def beta_quantile(p, a: float, b: float) -> np.ndarray:
-    """x with I_x(a, b) = p: read off a table that is even in logit(x), then one Newton step."""
+    """x with I_x(a, b) = p: read off a table over logit(x), then one Newton step."""
     p = np.clip(np.asarray(p, float), 0.0, 1.0)
-    z = np.linspace(-30, 30, 3001)
+    # The far lower part matters for shapes well below one, whose mass sits next to zero.
+    z = np.concatenate([np.linspace(-690, -30, 660, endpoint=False), np.linspace(-30, 30, 3001)])
     grid = 1 / (1 + np.exp(-z))
     cdf = beta_cdf(grid, a, b)
     inner = (cdf > 0) & (cdf < 1)

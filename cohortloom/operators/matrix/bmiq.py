@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import tails
 from cohortloom.operators.joins import attach
+from cohortloom.session import materialise
 
 BINS = 1000
 
@@ -117,10 +118,14 @@ def bmiq(long: DataFrame, sample: str = "sample_id", value: str = "value", desig
     per_sample = counts.groupBy(sample).agg(
         F.collect_list(F.when(F.col(design) == first, cell)).alias("_one"),
         F.collect_list(F.when(F.col(design) == second, cell)).alias("_two"))
-    grid = per_sample.select(sample, _grids()("_one", "_two").alias("_g"))
+    # Rows are few but each costs a fit, so they are spread by number, not packed by size.
+    tasks = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = per_sample.repartition(tasks).select(sample, _grids()("_one", "_two").alias("_g"))
     lines = grid.select(sample, F.posexplode(F.arrays_zip(
         F.slice("_g", 1, BINS).alias("y0"), F.slice("_g", 2, BINS).alias("y1"))).alias("_bin", "_l")).select(
             sample, "_bin", "_l.y0", "_l.y1")
+    # Written once: the fits are not repeated, and the join is planned from the table's true size.
+    lines = materialise(lines, "curves")
     joined = attach(long.withColumn("_bin", place), lines, [sample, "_bin"])
     inside = F.col(value) * BINS - F.col("_bin")
     mapped = F.col("y0") + (F.col("y1") - F.col("y0")) * inside
