@@ -161,9 +161,9 @@ def label_or(a: DataFrame, b: DataFrame, key: str, col: str, otherwise: object)
 
 
 def zip_join(a: DataFrame, b: DataFrame, key: str, order_a: Sequence[str], order_b: Sequence[str],
-             gate: bool = True) -> DataFrame:
+             gate: bool = True, place: str = "k") -> DataFrame:
     """Per key, the k-th row of ``a`` meets the k-th row of ``b``; with ``gate`` only for keys whose
-    two counts agree."""
+    two counts agree. ``place`` names the column that holds the k."""
     from cohortloom.operators.ordering import row_index
 
     left, right = a, b
@@ -172,9 +172,9 @@ def zip_join(a: DataFrame, b: DataFrame, key: str, order_a: Sequence[str], order
         counts_b = b.groupBy(key).agg(F.count("*").alias("_nb"))
         equal = attach(counts_a, counts_b, key, "inner").where("_na = _nb").select(key)
         left, right = keep_in(a, equal, key), keep_in(b, equal, key)
-    left = row_index(left, order_a, [key], "k")
-    right = row_index(right, order_b, [key], "k")
-    return attach(left, right, [key, "k"], "inner")
+    left = row_index(left, order_a, [key], place)
+    right = row_index(right, order_b, [key], place)
+    return attach(left, right, [key, place], "inner")
 
 
 def region_join(sites: DataFrame, regions: DataFrame, bin_width: int, how: str = "inner") -> DataFrame:

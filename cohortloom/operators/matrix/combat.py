@@ -19,10 +19,13 @@ def _check_covariates(cells: DataFrame, sample: str, batch: str, cols: Sequence[
     if not cols:
         return
     samples = cells.select(sample, batch, *cols).distinct().withColumn("_v", F.lit(0.0))
-    row = within_sums(regression_sums(samples, [batch], cols).withColumn("_all", F.lit(1)), "_all", len(cols)).first()
-    cc = np.array(row["w_cc"], float).reshape(len(cols), len(cols))
+    p = len(cols)
+    sums = regression_sums(samples, [batch], cols).withColumn("_all", F.lit(1))
+    total = sums.groupBy("_all").agg(*[F.sum(f"scc_{i}_{i}").alias(f"t{i}") for i in range(p)])
+    row = attach(within_sums(sums, "_all", p), total, "_all").first()
+    cc = np.array(row["w_cc"], float).reshape(p, p)
     scale = np.sqrt(np.abs(np.diag(cc)))
-    if np.any(scale < 1e-9) or np.linalg.matrix_rank(cc / np.outer(scale, scale), tol=1e-9) < len(cols):
+    if np.any(scale ** 2 <= 1e-10 * np.array([row[f"t{i}"] for i in range(p)])) or np.linalg.matrix_rank(cc / np.outer(scale, scale), tol=1e-9) < p:
         raise ValueError("covariates are confounded with the batches or with each other")
 
 
@@ -87,7 +90,7 @@ def batch_parameters(cells: DataFrame, batch: str, cols: Sequence[str], feature:
         F.when(usable, dev1 / F.col("sigma")).alias("s1"),
         F.when(usable, F.greatest(dev2, F.lit(0.0)) / (F.col("sigma") * F.col("sigma"))).alias("s2"))
     std = std.withColumns({"gamma_hat": F.col("s1") / n, "delta_hat": F.when(
-        n > 1, F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / n, F.lit(0.0)) / (n - 1))})
+        F.col("usable") & (n > 1), F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / n, F.lit(0.0)) / (n - 1))})
     std = materialise(std, "standardised")
     priors = std.groupBy(batch).agg(
         F.avg("gamma_hat").alias("gbar"), F.var_samp("gamma_hat").alias("t2"),

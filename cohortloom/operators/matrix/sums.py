@@ -84,7 +84,7 @@ def coefficients(p: int):
 def add_slopes(per_feature: DataFrame, p: int) -> DataFrame:
     """Add ``beta`` and the residual sum of squares ``rss``."""
     if p == 0:
-        return per_feature.withColumns({"beta": F.array().cast("array<double>"), "rss": F.col("w_vv")})
+        return per_feature.withColumns({"beta": F.array().cast("array<double>"), "rss": F.greatest("w_vv", F.lit(0.0))})
     fitted = per_feature.withColumn("beta", coefficients(p)("w_cc", "w_vc"))
     explained = plus([F.col("beta")[i] * F.col("w_vc")[i] for i in range(p)])
     return fitted.withColumn("rss", F.greatest(F.col("w_vv") - explained, F.lit(0.0)))
