@@ -166,14 +166,16 @@ def zip_join(a: DataFrame, b: DataFrame, key: str, order_a: Sequence[str], order
     two counts agree. ``place`` names the column that holds the k."""
     from cohortloom.operators.ordering import row_index
 
-    left, right = a, b
+    left, right, sizes = a, b, None
     if gate:
         counts_a = a.groupBy(key).agg(F.count("*").alias("_na"))
         counts_b = b.groupBy(key).agg(F.count("*").alias("_nb"))
-        equal = attach(counts_a, counts_b, key, "inner").where("_na = _nb").select(key)
+        equal = attach(counts_a, counts_b, key, "inner").where("_na = _nb")
+        top = equal.agg(F.max("_na").alias("largest"), F.sum("_na").alias("total")).first()
+        sizes = (top["largest"] or 0, top["total"] or 0)
         left, right = keep_in(a, equal, key), keep_in(b, equal, key)
-    left = row_index(left, order_a, [key], place)
-    right = row_index(right, order_b, [key], place)
+    left = row_index(left, order_a, [key], place, sizes=sizes)
+    right = row_index(right, order_b, [key], place, sizes=sizes)
     return attach(left, right, [key, place], "inner")
 
 

@@ -14,18 +14,16 @@ from cohortloom.operators.matrix.sums import add_slopes, plus, regression_sums,
 from cohortloom.session import materialise
 
 
-def _check_covariates(cells: DataFrame, sample: str, batch: str, cols: Sequence[str]) -> None:
-    """Raise where covariates are explained by the batches or by each other, from sample rows."""
-    if not cols:
+def _check_covariates(within: DataFrame, p: int) -> None:
+    """Raise where covariates are explained by the batches or by each other. The features with
+    most cells have all samples, so one of them shows it."""
+    row = within.orderBy(F.desc("n_cells")).select("w_cc", "t_cc").first()
+    if row is None:
         return
-    samples = cells.select(sample, batch, *cols).distinct().withColumn("_v", F.lit(0.0))
-    p = len(cols)
-    sums = regression_sums(samples, [batch], cols).withColumn("_all", F.lit(1))
-    total = sums.groupBy("_all").agg(*[F.sum(f"scc_{i}_{i}").alias(f"t{i}") for i in range(p)])
-    row = attach(within_sums(sums, "_all", p), total, "_all").first()
     cc = np.array(row["w_cc"], float).reshape(p, p)
     scale = np.sqrt(np.abs(np.diag(cc)))
-    if np.any(scale ** 2 <= 1e-10 * np.array([row[f"t{i}"] for i in range(p)])) or np.linalg.matrix_rank(cc / np.outer(scale, scale), tol=1e-9) < p:
+    if (np.any(scale ** 2 <= 1e-10 * np.array(row["t_cc"], float))
+            or np.linalg.matrix_rank(cc / np.outer(scale, scale), tol=1e-9) < p):
         raise ValueError("covariates are confounded with the batches or with each other")
 
 
@@ -69,7 +67,10 @@ def batch_parameters(cells: DataFrame, batch: str, cols: Sequence[str], feature:
     location and scale. Everything follows from one aggregation of the cells."""
     p = len(cols)
     sums = materialise(regression_sums(cells, [feature, batch], cols), "sums")
-    fits = add_slopes(within_sums(sums, feature, p), p)
+    within = within_sums(sums, feature, p)
+    if p:
+        _check_covariates(within, p)
+    fits = add_slopes(within, p)
     joined = attach(sums, fits.select(feature, "beta", "rss", "n_cells", "n_groups"), feature)
     n = F.col("n")
     beta = [F.col("beta")[i] for i in range(p)]
@@ -112,15 +113,14 @@ def _standardise(cells: DataFrame, params: DataFrame, batch: str, cols: Sequence
 
 
 def combat(long: DataFrame, batch: str = "batch", covariates: Sequence[str] = (),
-           levels: Mapping[str, Sequence] | None = None, feature: str = "feature_id", sample: str = "sample_id",
-           value: str = "value", conv: float = 1e-4) -> DataFrame:
+           levels: Mapping[str, Sequence] | None = None, feature: str = "feature_id", value: str = "value",
+           conv: float = 1e-4) -> DataFrame:
     """Replace the value by its batch-corrected one, keeping covariate effects.
 
     ``batch`` and the covariates are columns of the long frame (attach sample columns first).
     Missing values stay missing.
     """
     cells, cols = with_covariates(long, covariates, levels, value)
-    _check_covariates(cells, sample, batch, cols)
     params = batch_parameters(cells, batch, cols, feature, conv).drop("gamma_hat", "delta_hat")
     joined, fitted, z = _standardise(cells, params, batch, cols, feature)
     corrected = (F.col("sigma") * (z - F.col("gamma")) / F.sqrt("delta") + fitted) + (F.col(value) - F.col("_v"))

@@ -54,7 +54,8 @@ def regression_sums(cells: DataFrame, by: Sequence[str], cols: Sequence[str], v:
 
 def within_sums(sums: DataFrame, feature: str, p: int) -> DataFrame:
     """Per feature, cross products around the means of its groups (batches): ``w_vv``, arrays
-    ``w_vc`` (p) and ``w_cc`` (p x p), with the cell and group counts."""
+    ``w_vc`` (p) and ``w_cc`` (p x p), with the cell and group counts and the covariates' plain sums
+    of squares ``t_cc`` (p)."""
     n = F.col("n")
     scc = lambda i, j: F.col(f"scc_{min(i, j)}_{max(i, j)}")
     aggs = [F.sum("n").alias("n_cells"), F.count("*").alias("n_groups"),
@@ -62,7 +63,8 @@ def within_sums(sums: DataFrame, feature: str, p: int) -> DataFrame:
             F.array(*[F.sum(F.col(f"svc_{i}") - F.col("sv") * F.col(f"sc_{i}") / n) for i in range(p)]
                     ).cast("array<double>").alias("w_vc"),
             F.array(*[F.sum(scc(i, j) - F.col(f"sc_{i}") * F.col(f"sc_{j}") / n) for i in range(p) for j in range(p)]
-                    ).cast("array<double>").alias("w_cc")]
+                    ).cast("array<double>").alias("w_cc"),
+            F.array(*[F.sum(scc(i, i)) for i in range(p)]).cast("array<double>").alias("t_cc")]
     return sums.groupBy(feature).agg(*aggs)
 
 

@@ -61,15 +61,17 @@ def ordered_pieces(df: DataFrame, keys: Sequence[str], order_by: Sequence[SortKe
 
 
 def row_index(df: DataFrame, order_by: Sequence[SortKey], partition_by: Sequence[str] = (),
-              out: str = "row_index", max_group: int | None = None) -> DataFrame:
+              out: str = "row_index", max_group: int | None = None,
+              sizes: tuple[int, int] | None = None) -> DataFrame:
     """Number rows from 1 in the given order, inside each key or over the whole frame.
 
-    ``order_by`` should be total (end it with a unique column) for a repeatable result.
+    ``order_by`` should be total (end it with a unique column) for a repeatable result. A caller
+    that has counted the groups passes ``sizes`` (largest group, all rows) and saves the count.
     """
     limit = max_group or MAX_GROUP_ROWS
     keys = list(partition_by) or ["_all"]
     work = df if partition_by else df.withColumn("_all", F.lit(1))
-    largest, total = group_sizes(work, keys)
+    largest, total = sizes or group_sizes(work, keys)
     if largest <= limit:
         w = W.partitionBy(*keys).orderBy(*sort_columns(order_by))
         return work.withColumn(out, F.row_number().over(w).cast("long")).select(*df.columns, out)

@@ -32,59 +32,84 @@ def stack_sheets(sheets: Mapping[str, DataFrame], platform: str = "Platform", id
     return stacked.withColumn(id_col, clean_id(F.col(id_col)))
 
 
+def age_facts(draws: DataFrame, key: str, age: str, lo: float = AGE_MIN, hi: float = AGE_MAX) -> DataFrame:
+    """Per person: whether any draw has an impossible age, how many distinct ages there are (a missing
+    age is one, and is never an error), and the greatest."""
+    bad = F.coalesce((F.col(age) < lo) | (F.col(age) > hi), F.lit(False))
+    return draws.groupBy(key).agg(
+        F.max(bad).alias("_bad"), F.max(age).alias("_only"),
+        (F.count_distinct(age) + F.max(F.col(age).isNull().cast("int"))).alias("_ages"))
+
+
+def diagnosis_facts(diagnosis: DataFrame, overrides: DataFrame, key: str, label: str) -> DataFrame:
+    """Per person: the label where one row gives it, the override where several do."""
+    per_key = diagnosis.groupBy(key).agg(F.count("*").alias("_n"), F.max(label).alias("_label"))
+    given = overrides.select(key, F.col(label).alias("_override"))
+    return joins.attach(per_key, given, key).select(
+        key, F.lit(True).alias("_diagnosed"), F.when(F.col("_n") == 1, F.col("_label")).otherwise(F.col("_override")).alias(label))
+
+
 def assign_ages(samples: DataFrame, draws: DataFrame, key: str = "PIDN", age: str = "AgeAtDraw",
-                order_by: Sequence = ("Batch", "Slide"), lo: float = AGE_MIN, hi: float = AGE_MAX) -> DataFrame:
+                order_by: Sequence = ("Batch", "Slide"), lo: float = AGE_MIN, hi: float = AGE_MAX,
+                carry: Sequence[DataFrame] = ()) -> DataFrame:
     """Add the age of every sample and ``age_status``.
 
     no_draw: no draw of this person. invalid: some draw has an impossible age, so none is used.
     one: a single distinct age. matched: as many samples as distinct ages, paired in order.
-    unmatched: counts differ; the age stays NULL for an override. A missing age counts as a
-    distinct value and is never an error.
+    unmatched: counts differ; the age stays NULL for an override.
+
+    Facts per person are put together first, with further person tables to ``carry`` along, so
+    the samples are joined once.
     """
-    bad = (F.col(age) < lo) | (F.col(age) > hi)
-    per_person = draws.groupBy(key).agg(F.max(F.coalesce(bad, F.lit(False))).alias("_bad"))
-    valid = dedup.exclude_keys(draws, key, bad)
-    distinct = valid.select(key, age).distinct()
-    ages = distinct.groupBy(key).agg(F.count("*").alias("_ages"), F.max(age).alias("_only"))
-    counts = samples.groupBy(key).agg(F.count("*").alias("_samples"))
-    facts = joins.attach(joins.attach(per_person, ages, key), counts, key)
+    people = samples.groupBy(key).agg(F.count("*").alias("_samples"))
+    facts = age_facts(draws, key, age, lo, hi)
+    for table in (facts, *carry):
+        people = joins.attach(people, table, key)
     status = (F.when(F.col("_bad").isNull(), "no_draw").when(F.col("_bad"), "invalid")
               .when(F.col("_ages") == 1, "one").when(F.col("_ages") == F.col("_samples"), "matched")
               .otherwise("unmatched"))
-    joined = joins.attach(samples, facts, key).withColumn("age_status", status)
+    people = people.withColumn("age_status", status)
+    joined = joins.attach(samples, people, key)
+    extra = [c for t in carry for c in t.columns if c != key]
+    keep = [*samples.columns, *extra, "age_status"]
+    rest = joined.where("age_status <> 'matched'").select(
+        *keep, F.when(F.col("age_status") == "one", F.col("_only")).alias(age))
     # Only people with several ages in equal number need an order on either side.
-    several = facts.where((F.col("_ages") > 1) & (F.col("_ages") == F.col("_samples"))).select(key)
-    placed = row_index(joins.keep_in(samples, several, key), list(order_by), [key], "_k")
-    values = row_index(joins.keep_in(distinct, several, key), [age], [key], "_k").withColumnRenamed(age, "_paired")
-    matched = (joins.attach(placed, values, [key, "_k"]).select(*samples.columns, "_paired")
-               .withColumn("age_status", F.lit("matched")))
-    rest = joined.where(F.col("age_status") != "matched").withColumn(
-        "_paired", F.when(F.col("age_status") == "one", F.col("_only"))).select(*samples.columns, "_paired", "age_status")
-    return rest.unionByName(matched).withColumnRenamed("_paired", age)
+    several = people.where("age_status = 'matched'")
+    top = several.agg(F.max("_samples").alias("largest"), F.sum("_samples").alias("total")).first()
+    sizes = (top["largest"] or 0, top["total"] or 0)
+    placed = row_index(joined.where("age_status = 'matched'").select(*keep), list(order_by), [key], "_k", sizes=sizes)
+    distinct = joins.keep_in(draws.select(key, age).distinct(), several, key)
+    values = row_index(distinct, [age], [key], "_k", sizes=sizes)
+    return rest.unionByName(joins.attach(placed, values, [key, "_k"]).drop("_k"))
 
 
 def assign_diagnosis(samples: DataFrame, diagnosis: DataFrame, overrides: DataFrame, key: str = "PIDN",
                      label: str = "Diagnosis", otherwise: str = "Unknown") -> DataFrame:
     """The person's diagnosis where one row gives it, the override where several do, else ``otherwise``."""
-    per_key = diagnosis.groupBy(key).agg(F.count("*").alias("_n"), F.max(label).alias("_label"))
-    given = overrides.select(key, F.col(label).alias("_override"))
-    joined = joins.attach(joins.attach(samples, per_key, key), given, key)
-    value = (F.when(F.col("_n").isNull(), otherwise).when(F.col("_n") == 1, F.col("_label"))
-             .otherwise(F.col("_override")))
-    return joined.withColumn(label, value).drop("_n", "_label", "_override")
+    return _label(joins.attach(samples, diagnosis_facts(diagnosis, overrides, key, label), key), label, "_diagnosed", otherwise)
 
 
 def assign_sex(samples: DataFrame, patients: DataFrame, key: str = "PIDN", sex: str = "Gender",
                otherwise: str = "UNKNOWN") -> DataFrame:
     """The patient table's sex, or ``otherwise`` for people it lacks."""
-    return joins.label_or(samples, patients.select(key, sex).distinct(), key, sex, otherwise)
+    return _label(joins.attach(samples, _sex_facts(patients, key, sex), key), sex, "_registered", otherwise)
+
+
+def _sex_facts(patients: DataFrame, key: str, sex: str) -> DataFrame:
+    return patients.select(key, sex).distinct().withColumn("_registered", F.lit(True))
+
+
+def _label(df: DataFrame, col: str, found: str, otherwise: str) -> DataFrame:
+    return df.withColumn(col, F.when(F.col(found), F.col(col)).otherwise(otherwise)).drop(found)
 
 
 def sample_records(samples: DataFrame, draws: DataFrame, diagnosis: DataFrame, overrides: DataFrame,
                    patients: DataFrame, key: str = "PIDN") -> DataFrame:
     """One row per sample with age, age status, diagnosis and sex."""
-    aged = assign_ages(samples, draws, key)
-    return assign_sex(assign_diagnosis(aged, diagnosis, overrides, key), patients, key)
+    carry = [diagnosis_facts(diagnosis, overrides, key, "Diagnosis"), _sex_facts(patients, key, "Gender")]
+    aged = assign_ages(samples, draws, key, carry=carry)
+    return _label(_label(aged, "Diagnosis", "_diagnosed", "Unknown"), "Gender", "_registered", "UNKNOWN")
 
 
 def diagnosis_report(records: DataFrame, levels: Sequence[str], key: str = "PIDN", keep_empty: bool = False) -> DataFrame:

@@ -113,7 +113,7 @@ def ols_residualise(t: Tables):
 
 @query()
 def eb_remove_covariates(t: Tables):
-    return covariates.eb_remove_covariates(embedding_matrix(t), ["age", "sex"]).select("feature_id", "sample_id", "value")
+    return covariates.eb_remove_covariates(embedding_matrix(t), ["age", "sex"], {"sex": ["F", "M"]}).select("feature_id", "sample_id", "value")
 
 
 @query(f"""
@@ -130,7 +130,7 @@ def combat_standardise(t: Tables):
 
 @query()
 def combat(t: Tables):
-    return cb.combat(embedding_matrix(t), "batch", ["age", "sex"]).select("feature_id", "sample_id", "value")
+    return cb.combat(embedding_matrix(t), "batch", ["age", "sex"], {"sex": ["F", "M"]}).select("feature_id", "sample_id", "value")
 
 
 @query(f"""

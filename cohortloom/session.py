@@ -36,3 +36,12 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Turn on run-time plan changes that hot keys need: joins may split a hot partition even
+    where a later stage has to shuffle again for it."""
+    for name in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+                 "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+        spark.conf.set(name, "true")
+    return spark
