@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import common_columns
+from cohortloom.session import materialise
 
 _RIGHT = "_right_"
 
@@ -101,7 +102,7 @@ def match_report(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> DataFr
 def match_substring(a: DataFrame, b: DataFrame, col: str, key: str, exact: bool = True) -> DataFrame:
     """Rows of ``a`` whose text equals (``exact``) or contains some key of ``b``.
 
-    Containment is an equality join too: every distinct text is cut into its substrings of the
+    Containment is an equality join too: every distinct text is cut into all its substrings of the
     lengths that keys have, and those meet the keys by hash, so no pair of tables is crossed.
     """
     words = b.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct()
@@ -109,21 +110,17 @@ def match_substring(a: DataFrame, b: DataFrame, col: str, key: str, exact: bool
         return keep_in(a, words, col, "_key")
     # The lengths are small whole numbers, at most one per character of the longest key.
     lengths = [r["n"] for r in words.select(F.length("_key").alias("n")).distinct().collect()]
-    texts = a.select(F.col(col).alias("_text")).where(F.col("_text").isNotNull()).distinct()
     if not lengths:
         return a.where(F.lit(False))
-
-    def cuts(n: int):
-        if n == 0:
-            return F.array(F.lit(""))
-        last = F.length("_text") - n + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                                             lambda i: F.substring(F.col("_text"), i, F.lit(n)))
-                      ).otherwise(F.array().cast("array<string>"))
-
-    pieces = texts.select("_text", F.explode(F.array_distinct(F.concat(*[cuts(n) for n in lengths]))).alias("_cut"))
-    found = pieces.join(words, pieces["_cut"] == words["_key"], "left_semi").select("_text")
-    return keep_in(a, found, col, "_text")
+    # Texts are numbered and written, so that their substrings carry a number and not the text.
+    texts = materialise(a.select(F.col(col).alias("_text")).where(F.col(col).isNotNull()).distinct()
+                        .withColumn("_id", F.monotonically_increasing_id()), "texts")
+    sized = texts.select("_id", "_text", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_n")
+                         ).where(F.length("_text") >= F.col("_n"))
+    starts = sized.select("*", F.explode(F.sequence(F.lit(1), F.length("_text") - F.col("_n") + 1)).alias("_at"))
+    cuts = starts.select("_id", F.substring(F.col("_text"), F.col("_at"), F.col("_n")).alias("_cut"))
+    found = attach(cuts, words, "_cut", "left_semi", other_keys="_key").select("_id").distinct()
+    return keep_in(a, attach(texts, found, "_id", "left_semi"), col, "_text")
 
 
 def lookup_first(a: DataFrame, b: DataFrame, key: str, position: str, out: str = "first_position") -> DataFrame:

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from cohortloom.operators.joins import attach
 from cohortloom.session import materialise
 
-# Largest group that is sorted, or held as distinct values, inside one task.
+# Largest group that is sorted inside one task, and largest whose values one aggregate holds.
 MAX_GROUP_ROWS = 2_000_000
+MAX_HELD_VALUES = 100_000
 
 SortKey = str | Column
 
@@ -94,17 +95,16 @@ def rank_of(df: DataFrame, col: str, out: str, descending: bool = False, max_gro
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     names: Sequence[str], max_group: int | None = None) -> DataFrame:
     """Exact quantiles per group, linear between neighbours; NULL values are left out."""
-    limit = max_group or MAX_GROUP_ROWS
     grouped = list(keys) or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(1))
     src = src.select(*grouped, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    largest, _ = group_sizes(src, grouped)
-    if largest <= limit:
+    sizes = group_sizes(src, grouped)
+    if sizes[0] <= min(MAX_HELD_VALUES, max_group or MAX_HELD_VALUES):
         out = src.groupBy(*grouped).agg(*[F.percentile("_v", F.lit(p)).alias(n)
                                           for p, n in zip(probs, names, strict=True)])
         return out.select(*keys, *names)
     counts = src.groupBy(*grouped).agg(F.count("*").alias("_n"))
-    ranked = attach(row_index(src, ["_v"], grouped, "_rn", limit), counts, grouped)
+    ranked = attach(row_index(src, ["_v"], grouped, "_rn", max_group, sizes), counts, grouped)
     aggs, wanted = [], F.lit(False)
     for p, name in zip(probs, names, strict=True):
         at = (F.col("_n") - 1) * F.lit(float(p))

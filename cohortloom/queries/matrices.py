@@ -12,6 +12,10 @@ from cohortloom.operators.matrix import regions as rg
 from cohortloom.queries.registry import (EMBEDDING_SQL, PROBE_SQL, REGION_SQL, Tables, embedding_matrix, probe_matrix,
                                          query, r, regions, sites)
 
+# Mean detections are multiples of 0.01 / n; the cut lies between them, as a mean that equals it would
+# fall on either side by the order in which it was summed.
+DETECTION_CUT = 0.0703
+
 
 @query("SELECT feature_id, sample_id, value FROM (SELECT l_partkey AS feature_id, l_suppkey AS sample_id, l_extendedprice AS value FROM lineitem) "
        "WHERE sample_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
@@ -70,19 +74,19 @@ def design_matrix(t: Tables):
 _VST_SQL = f"""
 WITH {PROBE_SQL}, fit AS (
   SELECT sample_id, regr_slope(stdev, value) AS c1, regr_intercept(stdev, value) AS c2,
-         avg(stdev * stdev) FILTER (WHERE detection > 0.07) AS c3 FROM probes GROUP BY 1)
+         avg(stdev * stdev) FILTER (WHERE detection > 0.0703) AS c3 FROM probes GROUP BY 1)
 """
 
 
 @query(_VST_SQL + "SELECT sample_id, round(c1, 6) AS c1, round(c2, 4) AS c2, round(c3 / 1e6, 4) AS c3 FROM fit")
 def vst_regression(t: Tables):
-    fit = normalise.vst_regression(probe_matrix(t), 0.07)
+    fit = normalise.vst_regression(probe_matrix(t), DETECTION_CUT)
     return fit.select("sample_id", r("c1").alias("c1"), r("c2", 4).alias("c2"), r(F.col("c3") / 1e6, 4).alias("c3"))
 
 
 @query(_VST_SQL + "SELECT feature_id, sample_id, round(asinh((c2 + c1 * value) / sqrt(c3)) / c1, 4) AS value FROM probes JOIN fit USING (sample_id)")
 def vst(t: Tables):
-    return normalise.vst(probe_matrix(t), 0.07).select("feature_id", "sample_id", r("value", 4).alias("value"))
+    return normalise.vst(probe_matrix(t), DETECTION_CUT).select("feature_id", "sample_id", r("value", 4).alias("value"))
 
 
 @query(f"""
@@ -136,15 +140,15 @@ def combat(t: Tables):
 @query(f"""
 WITH {PROBE_SQL}
 SELECT sample_id, round(avg(CASE WHEN value > 50000 THEN 1.0 ELSE 0.0 END), 6) AS missing_rate,
-  round(avg(CASE WHEN detection > 0.07 THEN 1.0 ELSE 0.0 END), 6) AS failed_rate,
-  round(quantile_cont(CASE WHEN value <= 50000 THEN value END, 0.25), 4) AS q1, round(quantile_cont(CASE WHEN value <= 50000 THEN value END, 0.5), 4) AS median,
-  round(quantile_cont(CASE WHEN value <= 50000 THEN value END, 0.75), 4) AS q3 FROM probes GROUP BY 1
+  round(avg(CASE WHEN detection > 0.0703 THEN 1.0 ELSE 0.0 END), 6) AS failed_rate,
+  round(quantile_cont(CASE WHEN value <= 50000 THEN value END, 0.25), 6) AS q1, round(quantile_cont(CASE WHEN value <= 50000 THEN value END, 0.5), 6) AS median,
+  round(quantile_cont(CASE WHEN value <= 50000 THEN value END, 0.75), 6) AS q3 FROM probes GROUP BY 1
 """)
 def sample_qc(t: Tables):
     m = probe_matrix(t).withColumn("value", F.when(F.col("value") <= 50000, F.col("value")))
-    out = filters.sample_qc(m, 0.07)
+    out = filters.sample_qc(m, DETECTION_CUT)
     return out.select("sample_id", r("missing_rate").alias("missing_rate"), r("failed_rate").alias("failed_rate"),
-                      *[r(c, 4).alias(c) for c in ("q1", "median", "q3")])
+                      *[r(c).alias(c) for c in ("q1", "median", "q3")])
 
 
 def _annotated(t: Tables):
@@ -176,7 +180,7 @@ def filter_sex_chrom(t: Tables):
 
 @query()
 def greedycut(t: Tables):
-    return filters.greedycut(probe_matrix(t), 0.07)
+    return filters.greedycut(probe_matrix(t), DETECTION_CUT)
 
 
 @query(f"""

@@ -10,11 +10,15 @@ from pyspark.sql import types as T
 
 _SEPARATORS = {"csv": ",", "tsv": "\t"}
 
+# Fixed value: how delimited files spell a missing cell (an empty cell is missing too).
+NULL_TEXT = "NA"
+
 
 def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None,
                fmt: str = "csv", header: bool = True, date_format: str = "yyyy-MM-dd") -> DataFrame:
     """Read a csv, tsv or parquet table. Delimited files need a schema, so no pass is spent on
-    inference; cells that do not parse become NULL. Without a header columns take schema order."""
+    inference; cells that do not parse become NULL, and so do empty and ``NA`` cells (a quoted empty
+    text stays). Without a header columns take schema order."""
     if fmt == "parquet":
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return reader.parquet(*([path] if isinstance(path, str) else path))
@@ -24,7 +28,7 @@ def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
         raise ValueError("delimited files need a schema")
     return (spark.read.schema(schema).option("header", header).option("sep", _SEPARATORS[fmt])
             .option("quote", '"').option("escape", '"').option("multiLine", False)
-            .option("dateFormat", date_format).option("mode", "PERMISSIVE")
+            .option("dateFormat", date_format).option("mode", "PERMISSIVE").option("nullValue", NULL_TEXT)
             .csv(path if isinstance(path, str) else list(path)))
 
 
@@ -36,7 +40,8 @@ def read_glob(spark: SparkSession, folder: str, schema: T.StructType | str, patt
     if fmt not in _SEPARATORS:
         raise ValueError("fmt must be csv or tsv")
     df = (spark.read.schema(schema).option("header", header).option("sep", _SEPARATORS[fmt])
-          .option("quote", '"').option("escape", '"').option("pathGlobFilter", pattern)
+          .option("quote", '"').option("escape", '"').option("nullValue", NULL_TEXT)
+          .option("pathGlobFilter", pattern)
           .option("recursiveFileLookup", True).csv(folder)
           .select("*", F.col("_metadata.file_name").alias(source_col)))
     return df.where(F.col(source_col).isin(list(names))) if names is not None else df

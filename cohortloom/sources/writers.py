@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.sources.readers import NULL_TEXT
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),
                 header: bool = True, mode: str = "errorifexists") -> None:
@@ -18,7 +20,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
         writer.parquet(path)
     elif fmt in ("csv", "tsv"):
         (writer.option("header", header).option("sep", "," if fmt == "csv" else "\t")
-         .option("quote", '"').option("escape", '"').option("emptyValue", '""').csv(path))
+         .option("quote", '"').option("escape", '"').option("emptyValue", '""').option("nullValue", NULL_TEXT).csv(path))
     else:
         raise ValueError("fmt must be csv, tsv or parquet")
 
