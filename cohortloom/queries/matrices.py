@@ -132,6 +132,26 @@ def combat_standardise(t: Tables):
     return out.select("feature_id", "sample_id", *[r(c, 5).alias(c) for c in ("z", "gamma_hat", "delta_hat")])
 
 
+@query(f"""
+WITH RECURSIVE {EMBEDDING_SQL}, b AS (SELECT feature_id, batch, avg(value) AS bm, count(*) AS n, var_pop(value) * count(*) AS ss FROM matrix GROUP BY 1, 2),
+f AS (SELECT feature_id, sum(bm * n) / sum(n) AS alpha, sqrt(sum(ss) / sum(n)) AS sigma FROM b GROUP BY 1),
+z AS (SELECT feature_id, sample_id, batch, alpha, sigma, (value - alpha) / sigma AS z FROM matrix JOIN f USING (feature_id)),
+s AS (SELECT feature_id, batch, count(*) AS n, sum(z) AS s1, sum(z * z) AS s2, avg(z) AS gh, var_samp(z) AS dh FROM z GROUP BY 1, 2),
+m AS (SELECT batch, avg(gh) AS gbar, var_samp(gh) AS t2, avg(dh) AS m, var_samp(dh) AS v FROM s GROUP BY 1),
+it AS (
+  SELECT feature_id, batch, n, s1, s2, gh, gbar, t2, (2 * v + m * m) / v AS a, (m * v + m * m * m) / v AS bb, gh AS g, dh AS d, 0 AS i
+  FROM s JOIN m USING (batch)
+  UNION ALL
+  SELECT feature_id, batch, n, s1, s2, gh, gbar, t2, a, bb, gn, (0.5 * (s2 - 2 * gn * s1 + n * gn * gn) + bb) / (n / 2.0 + a - 1), i + 1
+  FROM (SELECT *, (t2 * n * gh + d * gbar) / (t2 * n + d) AS gn FROM it WHERE i < 60))
+SELECT z.feature_id, z.sample_id, round((z.z - g) / sqrt(d) * sigma + alpha, 6) AS value
+FROM z JOIN it ON it.feature_id = z.feature_id AND it.batch = z.batch AND it.i = 60
+""")
+def combat_without_covariates(t: Tables):
+    out = cb.combat(embedding_matrix(t), "batch", conv=1e-13)
+    return out.select("feature_id", "sample_id", r("value").alias("value"))
+
+
 @query()
 def combat(t: Tables):
     return cb.combat(embedding_matrix(t), "batch", ["age", "sex"], {"sex": ["F", "M"]}).select("feature_id", "sample_id", "value")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import dedup, ordering, ranking, summaries
 from cohortloom.operators.matrix import normalise
 
-LIMIT = 50
+LIMIT = 300
 
 
 @pytest.fixture(scope="module")
