@@ -14,6 +14,7 @@ from cohortloom.functions import tails
 from cohortloom.functions.columns import factor_code
 from cohortloom.operators.matrix.core import factor_levels
 from cohortloom.operators.stats.ols import check_rank, cross_products
+from cohortloom.session import materialise
 
 SCHEMA = "term string, df long, sumsq double, meansq double, statistic double, p_value double"
 
@@ -27,10 +28,11 @@ def f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
 def anova_oneway(df: DataFrame, y: str, group: str) -> DataFrame:
     """Between and within sums of squares over any number of groups, with F and its tail.
 
-    Group moments fold map-side; the second aggregation sees one row per group.
+    Group moments fold map-side and are written once; what follows sees one row per group.
     """
     rows = df.select(F.col(group).alias("g"), F.col(y).cast("double").alias("y")).dropna()
-    groups = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v"))
+    groups = materialise(rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("y").alias("m"),
+                                               F.var_pop("y").alias("v")), "groups")
     # Weighted moments of the group means give the between part without cancelling.
     grand = groups.agg(F.sum(F.col("n") * F.col("m")) / F.sum("n")).scalar()
     total = groups.withColumn("grand", grand).agg(

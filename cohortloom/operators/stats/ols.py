@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import tails
 from cohortloom.operators.matrix.core import factor_levels
+from cohortloom.session import materialise
 
 # Widest design that is solved densely on the driver.
 MAX_COLUMNS = 400
@@ -29,36 +30,58 @@ class CrossProducts:
 
 def cross_products(df: DataFrame, y: str, terms: Sequence[str],
                    levels: Mapping[str, Sequence] | None = None) -> CrossProducts:
-    """Cross products of intercept, terms and response.
+    """Cross products of intercept, terms and response, from one pass over the rows.
 
-    Numbers are shifted by their means first, so that sums of squares do not cancel.
+    Rows fold to moments per combination of factor levels, written once; levels, means and
+    cross products all come from that table. Numbers are taken around their means, so that sums
+    of squares do not cancel.
     """
-    rows = df.select(y, *terms).dropna()
-    types = dict(rows.dtypes)
+    types = dict(df.dtypes)
     levels = dict(levels or {})
-    numeric = [c for c in (y, *terms) if types[c] != "string" and c not in levels]
-    means = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in numeric]).first().asDict()
-    if not means["n"]:
+    factors = [c for c in dict.fromkeys(terms) if types[c] == "string" or c in levels]
+    numeric = [c for c in dict.fromkeys((*terms, y)) if c not in factors]
+    rows = df.select(*factors, *numeric).dropna()
+    place = {c: i for i, c in enumerate(numeric)}
+    pairs = [(i, j) for i in range(len(numeric)) for j in range(i, len(numeric))]
+    moments = materialise(rows.groupBy(*factors).agg(
+        F.count("*").alias("_n"), *[F.avg(c).alias(f"_m{i}") for c, i in place.items()],
+        *[(F.covar_pop(numeric[i], numeric[j]) * F.count("*")).alias(f"_c{i}_{j}") for i, j in pairs]), "moments")
+    n = F.col("_n")
+    totals = moments.agg(F.sum(n).alias("n"), *[(F.sum(n * F.col(f"_m{i}")) / F.sum(n)).alias(c)
+                                                for c, i in place.items()]).first().asDict()
+    if not totals["n"]:
         raise ValueError("no complete rows")
-    design = [("(Intercept)", "(Intercept)", 0.0, F.lit(1.0))]
+
+    def around_mean(c):
+        return F.col(f"_m{place[c]}") - float(totals[c])
+
+    # (name, term, shift, column over the moments table, place among the numbers or None)
+    design = [("(Intercept)", "(Intercept)", 0.0, F.lit(1.0), None)]
     for term in terms:
-        if term in numeric:
-            design.append((term, term, float(means[term]), F.col(term).cast("double") - float(means[term])))
+        if term in place:
+            design.append((term, term, float(totals[term]), around_mean(term), place[term]))
         else:
-            found = levels.get(term) or factor_levels(rows, term, MAX_COLUMNS)
-            design += [(f"{term}{v}", term, 0.0, (F.col(term) == F.lit(v)).cast("double")) for v in list(found)[1:]]
+            found = levels.get(term) or factor_levels(moments, term, MAX_COLUMNS)
+            design += [(f"{term}{v}", term, 0.0, (F.col(term) == F.lit(v)).cast("double"), None) for v in list(found)[1:]]
     if len(design) > MAX_COLUMNS:
         raise ValueError(f"a design of {len(design)} columns is too wide for a dense solve")
-    cols = [d[3] for d in design] + [F.col(y).cast("double") - float(means[y])]
+    cols = [*design, (y, y, float(totals[y]), around_mean(y), place[y])]
+
+    def product(left, right):
+        between = n * left[3] * right[3]
+        if left[4] is None or right[4] is None:
+            return F.sum(between)
+        i, j = sorted((left[4], right[4]))
+        return F.sum(between + F.col(f"_c{i}_{j}"))
+
     p = len(cols)
-    named = rows.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)])
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = named.agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    cells = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = moments.agg(*[product(cols[i], cols[j]).alias(f"s{i}_{j}") for i, j in cells]).first()
     full = np.zeros((p, p))
-    for i, j in pairs:
+    for i, j in cells:
         full[i, j] = full[j, i] = sums[f"s{i}_{j}"]
-    return CrossProducts([d[0] for d in design], [d[1] for d in design],
-                         [d[2] for d in design] + [float(means[y])], int(means["n"]), full)
+    return CrossProducts([d[0] for d in design], [d[1] for d in design], [d[2] for d in cols],
+                         int(totals["n"]), full)
 
 
 def check_rank(names: Sequence[str], xtx: np.ndarray) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import tails
 from cohortloom.operators.matrix.core import factor_levels
+from cohortloom.session import materialise
 
 
 def _limits(level: float):
@@ -31,8 +32,9 @@ def tukey_hsd(df: DataFrame, y: str, group: str, level: float = 0.95) -> DataFra
     has few (more than the design limit is an error).
     """
     rows = df.select(F.col(group).alias("g"), F.col(y).cast("double").alias("y")).dropna()
-    factor_levels(rows, "g")
-    groups = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v"))
+    groups = materialise(rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("y").alias("m"),
+                                               F.var_pop("y").alias("v")), "groups")
+    factor_levels(groups, "g")
     table = groups.agg(F.sort_array(F.collect_list(F.struct("g", "n", "m"))).alias("levels"),
                        F.count("*").alias("k"), (F.sum("n") - F.count("*")).alias("df"),
                        (F.sum(F.col("n") * F.col("v")) / (F.sum("n") - F.count("*"))).alias("mse"))
