@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from cohortloom.functions import tails
 from cohortloom.operators.joins import attach
 from cohortloom.operators.ordering import exact_quantiles, row_index
-from cohortloom.session import materialise
 
 FEATURE, SAMPLE, VALUE = "feature_id", "sample_id", "value"
 
