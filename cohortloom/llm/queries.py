@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import rules
+from cohortloom.llm import packing, rules
 from cohortloom.session import configure
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +48,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
   SELECT *, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM b""")
 def op3_quality_ledger(spark, folder):
     return rules.verdict(rules.ledger(table(spark, folder, "documents"), keep=["doc_id"]))
+
+
+@query()
+def op7_pack_in_order(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
