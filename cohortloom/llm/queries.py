@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import packing, rules
+from cohortloom.llm import decontaminate, packing, rules
 from cohortloom.session import configure
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,26 @@ def op3_quality_ledger(spark, folder):
 @query()
 def op7_pack_in_order(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("""
+  WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  b AS (SELECT item_id, regexp_extract_all(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+  s AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+  g AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS gram FROM s),
+  ks AS (SELECT DISTINCT k FROM g),
+  p AS (SELECT rid, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k),
+  m AS (SELECT rid, i, p.k, item_id FROM p JOIN g ON g.k = p.k AND g.gram = array_to_string(p.w[p.i:p.i + p.k - 1], ' ')),
+  h AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS j FROM m) GROUP BY rid),
+  t AS (SELECT rid, count(DISTINCT item_id) AS n_items,
+               string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+        FROM m GROUP BY rid)
+  SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+         sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)""")
+def op10_fm_index(spark, folder):
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
