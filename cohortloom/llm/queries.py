@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortloom.llm import decontaminate, near_dup, packing, rules
+from cohortloom.llm import decontaminate, language, near_dup, packing, rules
 from cohortloom.session import configure
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +94,11 @@ def op10_fm_index(spark, folder):
   FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)""")
 def op4_lsh_forest(spark, folder):
     return near_dup.near_components(table(spark, folder, "documents"), k=4)
+
+
+@query()
+def op9_kneser_ney(spark, folder):
+    docs = table(spark, folder, "documents")
+    held = language.held_out(F.col("doc_id"))
+    model = language.fit(docs, ~held)
+    return language.identify(docs, model, ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
