@@ -31,6 +31,7 @@ from cohortloom.llm import vocab, words
 WINDOW = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 18
+SLICE_BYTES = 6 << 20  # text tokenized at a time; what repeats in it is tokenized once
 SENTENCE_CUT = 8      # penalty, in tokens of padding, for going on with a document in the next window
 CLAUSE_CUT = 16       # the same where only a clause ends
 INNER_CUT = 128       # the same for a cut inside a clause
@@ -174,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                 out[c] if isinstance(out[c], pa.Array) else pa.array(out[c], kinds[c]) for c in names], list(names))
 
         kinds = {c: pa.int64() for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-        for batch in words.slices(batches, "text"):
+        for batch in words.slices(batches, "text", SLICE_BYTES):
             kinds["doc_id"] = batch.schema.field("doc_id").type
             ids, sizes = enc.encode(batch.column("text"))
             ends = np.cumsum(sizes)

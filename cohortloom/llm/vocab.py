@@ -8,6 +8,9 @@ and punctuation can reach across; each different piece of a slice is tokenized o
 
 from __future__ import annotations
 
+import os
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +20,7 @@ from pyspark.sql import SparkSession
 from cohortloom.llm import words
 
 MAX_VOCABULARY_BYTES = 16 << 20
-CACHED_PIECES = 400_000  # pieces kept per worker; past that the cache starts anew, with the same results
+CACHED_PIECES = 600_000  # pieces kept per worker; past that the cache starts anew, with the same results
 CACHED_LENGTH = 32
 
 BLANK, PLAIN, OTHER, PUNCTUATION = 0, 1, 2, 3
@@ -43,6 +46,8 @@ class Encoder:
     """Tokenizer with a bounded cache of pieces. One per Python worker."""
 
     def __init__(self, text: str):
+        # A task has one core: the library's own threads would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(text)
@@ -52,13 +57,15 @@ class Encoder:
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         known = self.cache
-        new = [p for p in pieces if p not in known]
-        fresh = dict(zip(new, (np.array(e.ids, np.uint32).tobytes() for e in
-                               self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        found = [known[p] if p in known else fresh[p] for p in pieces]
+        found = list(map(known.get, pieces))
+        new = [i for i, v in enumerate(found) if v is None]
         if len(known) > CACHED_PIECES:
             known.clear()
-        known.update((p, v) for p, v in fresh.items() if len(p) <= CACHED_LENGTH)
+        for i, e in zip(new, self.tokenizer.encode_batch_fast([pieces[i] for i in new], add_special_tokens=False),
+                        strict=True):
+            found[i] = array("I", e.ids).tobytes()
+            if len(pieces[i]) <= CACHED_LENGTH:
+                known[pieces[i]] = found[i]
         return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
