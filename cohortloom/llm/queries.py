@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import decontaminate, language, near_dup, packing, rules
+from cohortloom.llm import decontaminate, language, near_dup, packing, rules, tokens
 from cohortloom.session import configure
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op9_kneser_ney(spark, folder):
     held = language.held_out(F.col("doc_id"))
     model = language.fit(docs, ~held)
     return language.identify(docs, model, ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query()
+def op8_transducer_counts(spark, folder):
+    return tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
