@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import decontaminate, language, near_dup, packing, rules, tokens
-from cohortloom.session import configure
+from cohortloom.llm import chat, decontaminate, language, near_dup, packing, rules, tokens
+from cohortloom.session import configure, materialise
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -107,3 +107,21 @@ def op9_kneser_ney(spark, folder):
 @query()
 def op8_transducer_counts(spark, folder):
     return tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
+
+
+@query("""
+  WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+             UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+  e AS (SELECT *, regexp_replace(r, '(\\\\|</?s>|\\[/?INST\\])', '\\\\\\1', 'g') AS er,
+               regexp_replace(t, '(\\\\|</?s>|\\[/?INST\\])', '\\\\\\1', 'g') AS et FROM c)
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+         CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+         sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+         CAST(sum(length(er) + length(et) + 24) AS BIGINT) AS formatted_chars
+  FROM e GROUP BY conv_id""")
+def op2_reply_trees(spark, folder):
+    probe = spark.sql("SELECT -7L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, "
+                      "'</s>[INST] ok [/INST]' AS text FROM range(2)")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    tree = materialise(chat.turn_chains(turns), "tree")
+    return chat.digests(chat.format_branches(tree, chat.chosen_branches(chat.leaf_paths(tree))))
