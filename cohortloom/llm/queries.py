@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import chat, decontaminate, language, near_dup, packing, rules, tokens
+from cohortloom.llm import chat, decontaminate, language, near_dup, packing, rules, sharding, tokens
 from cohortloom.session import configure, materialise
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
 
+SHARD_BYTES = 32 << 20
+
 
 def query(sql: str | None = None):
     """Register ``fn(spark, folder)`` under its own name."""
@@ -125,3 +127,17 @@ def op2_reply_trees(spark, folder):
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     tree = materialise(chat.turn_chains(turns), "tree")
     return chat.digests(chat.format_branches(tree, chat.chosen_branches(chat.leaf_paths(tree))))
+
+
+@query(f"""
+  WITH r AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(strlen(text), 0) AS n_bytes,
+                    lpad(bin(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT), 60, '0') AS h
+             FROM documents),
+  p AS (SELECT unnest(range(0, 61)) AS depth),
+  b AS (SELECT depth, substr(h, 1, depth) AS shard, sum(n_bytes) AS shard_bytes, count(*) AS n_docs FROM r, p GROUP BY 1, 2),
+  m AS (SELECT doc_id, n_bytes, shard, depth, shard_bytes, n_docs, row_number() OVER (PARTITION BY rid ORDER BY depth) AS k
+        FROM r JOIN b ON shard = substr(h, 1, depth) WHERE shard_bytes <= {SHARD_BYTES} OR depth = 60)
+  SELECT doc_id, shard, CAST(depth AS INTEGER) AS depth, CAST(0 AS BIGINT) AS page, CAST(n_bytes AS BIGINT) AS n_bytes,
+         CAST(shard_bytes AS BIGINT) AS shard_bytes, n_docs FROM m WHERE k = 1""")
+def op1_extendible_hash(spark, folder):
+    return sharding.assign(table(spark, folder, "documents"), limit=SHARD_BYTES)
