@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import chat, decontaminate, language, near_dup, packing, rules, sharding, tokens
+from cohortloom.llm import chat, decontaminate, fixity, language, near_dup, packing, rules, sharding, tokens
 from cohortloom.session import configure, materialise
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,30 @@ def op2_reply_trees(spark, folder):
          CAST(shard_bytes AS BIGINT) AS shard_bytes, n_docs FROM m WHERE k = 1""")
 def op1_extendible_hash(spark, folder):
     return sharding.assign(table(spark, folder, "documents"), limit=SHARD_BYTES)
+
+
+def damaged_pages(pages: DataFrame) -> DataFrame:
+    """A replica of all pages in which some, by a hash of their number, are changed, lost or there under another number."""
+    mark = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
+    return pages.where(mark != "bb").select(
+        F.when(mark == "cc", -F.col("page_id")).otherwise(F.col("page_id")).alias("page_id"), "url",
+        F.when(mark == "aa", F.concat(F.coalesce("html", F.lit("")), F.lit("?"))).otherwise(F.col("html")).alias("html"))
+
+
+@query("""
+  WITH a AS (SELECT page_id AS node, url, html, strlen(coalesce(url, '')) + strlen(coalesce(html, '')) AS n_bytes,
+                    substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS mark FROM pages),
+  o AS (SELECT *, coalesce(sum(n_bytes) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_byte
+        FROM a),
+  b AS (SELECT CASE WHEN mark = 'cc' THEN -node ELSE node END AS node, url,
+               CASE WHEN mark = 'aa' THEN coalesce(html, '') || '?' ELSE html END AS html FROM a WHERE mark <> 'bb')
+  SELECT coalesce(o.node, b.node) AS node,
+         CASE WHEN b.node IS NULL THEN 'missing' WHEN o.node IS NULL THEN 'extra' ELSE 'changed' END AS problem,
+         CAST(first_byte AS BIGINT) AS first_byte, CAST(n_bytes AS BIGINT) AS n_bytes,
+         CAST(strlen(coalesce(b.url, '')) + strlen(coalesce(b.html, '')) + CASE WHEN b.node IS NULL THEN NULL ELSE 0 END AS BIGINT)
+           AS other_bytes
+  FROM o FULL JOIN b ON o.node = b.node
+  WHERE o.node IS NULL OR b.node IS NULL OR o.url IS DISTINCT FROM b.url OR o.html IS DISTINCT FROM b.html""")
+def op6_merkle_audit(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return fixity.audit(pages, damaged_pages(pages), "page_id", ["url", "html"])[0]
