@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import chat, decontaminate, fixity, language, near_dup, packing, rules, sharding, tokens
+from cohortloom.llm import chat, decontaminate, fixity, language, near_dup, packing, rules, scoring, sharding, tokens
 from cohortloom.session import configure, materialise
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,9 @@ def damaged_pages(pages: DataFrame) -> DataFrame:
 def op6_merkle_audit(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return fixity.audit(pages, damaged_pages(pages), "page_id", ["url", "html"])[0]
+
+
+@query()
+def op5_pseudo_likelihood(spark, folder):
+    docs = table(spark, folder, "documents")
+    return scoring.score(docs, scoring.fit(docs), ["doc_id"])
