@@ -46,9 +46,11 @@ def cast_or_null(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
 
 
-def cross_fill(df: DataFrame, a: str, b: str, unknown: Sequence[str] = ("UNKNOWN",)) -> DataFrame:
-    """Fill each of two columns from the other where it is unknown and the other is known."""
-    ka, kb = known(F.col(a), unknown), known(F.col(b), unknown)
+def cross_fill(df: DataFrame, a: str, b: str, unknown: Sequence[str] = ("UNKNOWN",),
+               unknown_b: Sequence[str] | None = None) -> DataFrame:
+    """Fill each of two columns from the other where it is unknown and the other is known. ``unknown`` lists
+    the codes for a missing value of ``a``, and of ``b`` unless ``unknown_b`` gives its own."""
+    ka, kb = known(F.col(a), unknown), known(F.col(b), unknown if unknown_b is None else unknown_b)
     return df.withColumns({
         a: F.when(~ka & kb, F.col(b)).otherwise(F.col(a)),
         b: F.when(~kb & ka, F.col(a)).otherwise(F.col(b)),

@@ -21,8 +21,13 @@ def _literal_replacement(text: str) -> str:
 
 
 def replace_first(col: Column, pattern: str, replacement: str) -> Column:
-    """Replace the first match only; text without a match and NULL stay as they are."""
-    return F.regexp_replace(col, f"(?s)^(.*?)(?:{pattern})", "$1" + _literal_replacement(replacement))
+    """Replace the first match only; text without a match and NULL stay as they are. The pattern keeps its
+    own rules for line breaks, groups and looking around."""
+    parts = F.split(col, pattern, 2)
+    # A split at the first match; an empty match at the very beginning is one that split passes over.
+    first_empty = col.rlike(f"^(?={pattern})") & (F.coalesce(F.regexp_substr(col, F.lit(pattern)), F.lit("")) == "")
+    return (F.when(col.rlike(pattern) & first_empty, F.concat(F.lit(replacement), col))
+            .when(F.size(parts) == 2, F.concat(parts[0], F.lit(replacement), parts[1])).otherwise(col))
 
 
 def replace_all(col: Column, pattern: str, replacement: str) -> Column:

@@ -99,27 +99,37 @@ def match_report(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> DataFr
     return both.select(*keys, status.alias("match_status"))
 
 
+def _class_width():
+    return F.pow(F.lit(2), F.col("_class")).cast("int")
+
+
 def match_substring(a: DataFrame, b: DataFrame, col: str, key: str, exact: bool = True) -> DataFrame:
     """Rows of ``a`` whose text equals (``exact``) or contains some key of ``b``.
 
-    Containment is an equality join too: every distinct text is cut into all its substrings of the
-    lengths that keys have, and those meet the keys by hash, so no pair of tables is crossed.
+    Containment is an equality join too: every distinct text is cut at each place to the lengths of a few
+    classes of keys, and the cuts meet the beginnings of keys by hash, so no pair of tables is crossed.
     """
     words = b.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct()
     if exact:
         return keep_in(a, words, col, "_key")
-    # The lengths are small whole numbers, at most one per character of the longest key.
-    lengths = [r["n"] for r in words.select(F.length("_key").alias("n")).distinct().collect()]
-    if not lengths:
-        return a.where(F.lit(False))
-    # Texts are numbered and written, so that their substrings carry a number and not the text.
+    # Keys are sorted into classes by the power of two below their length. A text is cut once per start and
+    # class, to that power's length; where the cut begins a key, the whole key is compared in place. A text of n
+    # characters so gives at most n cuts per class, however many key lengths there are.
+    sized = words.where("_key <> ''").withColumn("_class", F.floor(F.log2(F.length("_key"))).cast("int"))
+    keys = sized.withColumn("_cut", F.substring("_key", F.lit(1), _class_width()))
+    classes = [row["_class"] for row in keys.select("_class").distinct().collect()]  # at most 31
+    # Texts are numbered and written, so that their cuts carry a number and not the text.
     texts = materialise(a.select(F.col(col).alias("_text")).where(F.col(col).isNotNull()).distinct()
                         .withColumn("_id", F.monotonically_increasing_id()), "texts")
-    sized = texts.select("_id", "_text", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_n")
-                         ).where(F.length("_text") >= F.col("_n"))
-    starts = sized.select("*", F.explode(F.sequence(F.lit(1), F.length("_text") - F.col("_n") + 1)).alias("_at"))
-    cuts = starts.select("_id", F.substring(F.col("_text"), F.col("_at"), F.col("_n")).alias("_cut"))
-    found = attach(cuts, words, "_cut", "left_semi", other_keys="_key").select("_id").distinct()
+    width = _class_width()
+    starts = texts.select("_id", "_text", F.explode(F.array(*[F.lit(c) for c in sorted(classes)]).cast("array<int>")).alias("_class")
+                          ).where(F.length("_text") >= width)
+    cuts = starts.select("_id", "_class", "_text", F.explode(F.sequence(F.lit(1), F.length("_text") - width + 1)).alias("_at")
+                         ).select("_id", "_class", F.substring(F.col("_text"), F.col("_at"), width).alias("_cut")).distinct()
+    begun = attach(cuts, keys, ["_class", "_cut"], "inner").select("_id", "_key").distinct()
+    found = attach(begun, texts, "_id", "inner").where(F.contains(F.col("_text"), F.col("_key"))).select("_id").distinct()
+    if not words.where("_key = ''").isEmpty():  # the empty key is in every text
+        return a.where(F.col(col).isNotNull())
     return keep_in(a, attach(texts, found, "_id", "left_semi"), col, "_text")
 
 
@@ -167,7 +177,7 @@ def zip_join(a: DataFrame, b: DataFrame, key: str, order_a: Sequence[str], order
     if gate:
         counts_a = a.groupBy(key).agg(F.count("*").alias("_na"))
         counts_b = b.groupBy(key).agg(F.count("*").alias("_nb"))
-        equal = attach(counts_a, counts_b, key, "inner").where("_na = _nb")
+        equal = materialise(attach(counts_a, counts_b, key, "inner").where("_na = _nb"), "equal")
         top = equal.agg(F.max("_na").alias("largest"), F.sum("_na").alias("total")).first()
         sizes = (top["largest"] or 0, top["total"] or 0)
         left, right = keep_in(a, equal, key), keep_in(b, equal, key)

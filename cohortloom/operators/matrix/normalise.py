@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions import tails
 from cohortloom.operators.joins import attach
 from cohortloom.operators.ordering import exact_quantiles, row_index
+from cohortloom.session import materialise
 
 FEATURE, SAMPLE, VALUE = "feature_id", "sample_id", "value"
 
@@ -23,10 +24,13 @@ FEATURE, SAMPLE, VALUE = "feature_id", "sample_id", "value"
 def vst_regression(long: DataFrame, p_cut: float = 0.01, sample: str = SAMPLE, value: str = VALUE,
                    stdev: str = "stdev", detection: str = "detection") -> DataFrame:
     """Per sample: slope c1 and intercept c2 of spread on level, and background variance c3 (mean
-    variance of probes not detected)."""
-    return long.groupBy(sample).agg(
+    variance of probes not detected; where all are detected, of those below the sample's mean level)."""
+    means = long.groupBy(sample).agg(F.avg(value).alias("_level"))
+    variance = F.col(stdev) * F.col(stdev)
+    return attach(long, means, sample).groupBy(sample).agg(
         F.regr_slope(stdev, value).alias("c1"), F.regr_intercept(stdev, value).alias("c2"),
-        F.avg(F.when(F.col(detection) > p_cut, F.col(stdev) * F.col(stdev))).alias("c3"))
+        F.coalesce(F.avg(F.when(F.col(detection) > p_cut, variance)),
+                   F.avg(F.when(F.col(value) <= F.col("_level"), variance))).alias("c3"))
 
 
 def vst(long: DataFrame, p_cut: float = 0.01, sample: str = SAMPLE, value: str = VALUE, stdev: str = "stdev",
@@ -44,7 +48,8 @@ def quantile_normalise(long: DataFrame, feature: str = FEATURE, sample: str = SA
                        max_group: int | None = None) -> DataFrame:
     """Give every sample the same distribution: the mean over samples at each rank. Tied cells get
     the mean of their targets. Samples must have the same features."""
-    ranked = row_index(long, [value, feature], [sample], "_rank", max_group)
+    long = materialise(long, "cells")
+    ranked = materialise(row_index(long, [value, feature], [sample], "_rank", max_group), "ranked")
     target = ranked.groupBy("_rank").agg(F.avg(value).alias("_target"))
     placed = attach(ranked, target, "_rank")
     ties = placed.groupBy(sample, value).agg(F.avg("_target").alias("_target"))
@@ -53,10 +58,16 @@ def quantile_normalise(long: DataFrame, feature: str = FEATURE, sample: str = SA
 
 
 def closest_sample(long: DataFrame, feature: str = FEATURE, sample: str = SAMPLE, value: str = VALUE):
-    """The id of the sample nearest to the mean profile (the smaller id on a tie)."""
+    """The id of the sample nearest to the mean profile (the smaller id on a tie). A sample needs values in
+    half of all features to be chosen."""
     means = long.groupBy(feature).agg(F.avg(value).alias("_m"))
-    far = attach(long, means, feature).groupBy(sample).agg(F.avg((F.col(value) - F.col("_m")) ** 2).alias("_d"))
-    return far.orderBy("_d", sample).first()[sample]
+    n_features = means.where("_m is not null").count()
+    far = attach(long, means, feature).groupBy(sample).agg(
+        F.avg((F.col(value) - F.col("_m")) ** 2).alias("_d"), F.count(value).alias("_n"))
+    found = far.where((F.col("_n") > 0) & (2 * F.col("_n") >= n_features)).orderBy("_d", sample).first()
+    if found is None:
+        raise ValueError("no sample has values in half of the features")
+    return found[sample]
 
 
 def _isotonic(y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -122,6 +133,7 @@ def rsn(long: DataFrame, knots: int = 24, feature: str = FEATURE, sample: str =
     one. The curve goes through the weighted means of at most ``knots`` + 1 value ranges; where
     the ranges are cut is only approximate, all cells enter the means.
     """
+    long = materialise(long, "cells")  # read several times below
     target_id = closest_sample(long, feature, sample, value)
     target = long.where(F.col(sample) == F.lit(target_id)).select(feature, F.col(value).alias("_t"))
     cells = attach(long.select(feature, sample, F.col(value).alias("_v")), target, feature, "inner").dropna()

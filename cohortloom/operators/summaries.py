@@ -148,11 +148,12 @@ def collapse_values(df: DataFrame, col: str, sep: str = "|", chunk: int = 10_000
 
 def fold_difference(df: DataFrame, key: str, value: str, order_by: Sequence[SortKey], out: str = "difference"
                     ) -> DataFrame:
-    """|x1 - x2 - ... - xn| per key with x1 the first value in the given order. Folding from the
-    left equals twice the first minus the sum, so no list is built."""
-    order = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order_by])
-    return _known_keys(df, [key]).groupBy(key).agg(
-        F.abs(2 * F.min_by(value, order) - F.sum(value)).alias(out))
+    """|x1 - x2 - ... - xn| per key with x1 the first value in the given order; NULL if any value is.
+    Folding from the left equals twice the first minus the sum, so no list is built."""
+    rows = _known_keys(df, [key])
+    firsts = row_index(rows, order_by, [key], "_place").where("_place = 1").select(key, F.col(value).alias("_first"))
+    sums = rows.groupBy(key).agg(strict(F.sum, F.col(value)).alias("_sum"))
+    return attach(sums, firsts, key).select(key, F.abs(2 * F.col("_first") - F.col("_sum")).alias(out))
 
 
 def is_monotone(df: DataFrame, key: str, value: str, order_by: Sequence[SortKey], out: str = "monotone",

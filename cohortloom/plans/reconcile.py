@@ -16,6 +16,7 @@ from cohortloom.functions.columns import common_columns
 from cohortloom.functions.strings import clean_id
 from cohortloom.operators import dedup, joins, summaries
 from cohortloom.operators.ordering import row_index
+from cohortloom.session import materialise
 
 # Ages outside these limits are entry errors.
 AGE_MIN, AGE_MAX = 1, 150
@@ -68,7 +69,7 @@ def assign_ages(samples: DataFrame, draws: DataFrame, key: str = "PIDN", age: st
     status = (F.when(F.col("_bad").isNull(), "no_draw").when(F.col("_bad"), "invalid")
               .when(F.col("_ages") == 1, "one").when(F.col("_ages") == F.col("_samples"), "matched")
               .otherwise("unmatched"))
-    people = people.withColumn("age_status", status)
+    people = materialise(people.withColumn("age_status", status), "people")
     joined = joins.attach(samples, people, key)
     extra = [c for t in carry for c in t.columns if c != key]
     keep = [*samples.columns, *extra, "age_status"]
@@ -116,7 +117,8 @@ def diagnosis_report(records: DataFrame, levels: Sequence[str], key: str = "PIDN
     """Per diagnosis: people per sex, total, mean of each person's greatest age (missing if any age
     is), and people of unknown age."""
     people = records.groupBy(key).agg(
-        F.min(F.struct("Batch", "Slide", "Diagnosis", "Gender")).alias("_first"),
+        F.min(F.struct(F.col("Batch").isNull().alias("_nb"), "Batch", F.col("Slide").isNull().alias("_ns"), "Slide", "Diagnosis", "Gender"))
+        .alias("_first"),
         summaries.strict(F.max, F.col("AgeAtDraw")).alias("age"))
     flat = people.select(key, "_first.Diagnosis", "_first.Gender", "age")
     return summaries.group_summary(flat, "Diagnosis", "Gender", "age", levels, keep_empty)

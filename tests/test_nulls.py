@@ -192,3 +192,44 @@ def test_zscores(spark):
 def test_fold_difference(spark):
     df = spark.createDataFrame([("a", 2, 10.0), ("a", 1, 7.0), ("b", 1, 4.0)], "k string, o int, v double")
     assert _set(summaries.fold_difference(df, "k", "v", ["o"])) == [("a", 3.0), ("b", 4.0)]
+
+
+def test_replace_first_keeps_the_patterns_own_rules(spark):
+    from cohortloom.functions import strings
+
+    texts = ["a_b\nc", "a\nb axb", "xaay", "😀 b_c", "", None, "x.y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(strings.strip_suffix(F.col("t"), "_").alias("cut"), strings.replace_first(F.col("t"), "a.b", "<>").alias("dot"),
+                    strings.replace_first(F.col("t"), r"(a)\1", "$").alias("twice"), strings.replace_first(F.col("t"), "q*", "^").alias("none"),
+                    strings.replace_first(F.col("t"), "_c$", "!").alias("wide")).collect()
+    assert [r["cut"] for r in got] == ["a_b\nc", "a\nb axb", "xaay", "😀 b", "", None, "x.y"]
+    assert [r["dot"] for r in got][:2] == ["a_b\nc".replace("a_b", "<>"), "a\nb <>"]
+    assert got[2]["twice"] == "x$y" and got[0]["none"] == "^a_b\nc" and got[3]["wide"] == "😀 b!"
+
+
+def test_fold_difference_is_null_with_a_null_and_takes_any_order(spark):
+    df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, None), ("a", 3, 1.0), ("b", 1, 5.0), ("b", 2, 1.0), ("b", 3, 1.5)],
+                               "k string, o int, v double")
+    got = dict(map(tuple, summaries.fold_difference(df, "k", "v", ["o"]).collect()))
+    assert got == {"a": None, "b": 2.5}
+    assert dict(map(tuple, summaries.fold_difference(df, "k", "v", [F.col("o").desc_nulls_last()]).collect()))["b"] == 4.5
+
+
+def test_cross_fill_takes_codes_per_column(spark):
+    from cohortloom.functions import columns
+
+    df = spark.createDataFrame([("UNSPECIFIED", "x"), ("y", "UNKNOWN"), ("y", "UNSPECIFIED")], "a string, b string")
+    got = columns.cross_fill(df, "a", "b", ["UNSPECIFIED"], ["UNKNOWN"]).collect()
+    assert [tuple(r) for r in got] == [("x", "x"), ("y", "y"), ("y", "UNSPECIFIED")]
+
+
+def test_substrings_of_all_key_lengths(spark):
+    from cohortloom.operators import joins
+
+    texts = ["", "abc", "xabcdefghi", "aaaa", "hello world", None, "é😀z"]
+    keys = ["abc", "cdefg", "o w", "😀", "aaaaa", "zz", None]
+    a = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for own in (keys, [*keys, ""], [None]):
+        b = spark.createDataFrame([(k,) for k in own], "k string")
+        want = {i for i, t in enumerate(texts) if t is not None and any(k is not None and k in t for k in own)}
+        assert {r["i"] for r in joins.match_substring(a, b, "t", "k", exact=False).collect()} == want
