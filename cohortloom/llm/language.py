@@ -33,10 +33,10 @@ from pyspark.sql import types as T
 from cohortloom.llm import words
 
 ORDER = 5
-SAMPLE_DOCS = 1_000         # labelled documents per language that the models are fitted on, in expectation
+SAMPLE_DOCS = 400           # labelled documents per language that the models are fitted on, in expectation
 MAX_LANGUAGES = 500
 MAX_MODEL_BYTES = 256 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 TEMPERATURES = [0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0]
 UNKNOWN = "und"
 BEGIN, END = "\x02", "\x03"
