@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortloom.operators.joins import attach
 from cohortloom.operators.ordering import exact_quantiles
@@ -17,9 +19,6 @@ from cohortloom.operators.ranking import top_n
 # Fixed value: scales the median absolute deviation to the normal standard deviation.
 MAD_SCALE = 1.4826
 
-# Sample vectors are dense cells of one row; a component fit holds their square.
-MAX_VECTOR = 4096
-
 
 def mad(long: DataFrame, feature: str = "feature_id", value: str = "value", out: str = "mad") -> DataFrame:
     """Scaled median absolute deviation per feature, exact, in two quantile passes."""
@@ -34,27 +33,79 @@ def top_mad(long: DataFrame, n: int, feature: str = "feature_id", value: str = "
     return top_n(mad(long, feature, value), "mad", n, [feature])
 
 
-def sample_vectors(long: DataFrame, feature: str = "feature_id", sample: str = "sample_id",
-                   value: str = "value") -> DataFrame:
-    """One row per sample with its values in feature order, as a vector. Samples must be complete;
-    select features first (``top_mad``) where there are more than ``MAX_VECTOR``."""
-    names = [row[0] for row in long.select(feature).distinct().limit(MAX_VECTOR + 1).collect()]
-    if len(names) > MAX_VECTOR:
-        raise ValueError(f"more than {MAX_VECTOR} features; select features before reducing")
-    cells = long.where(F.col(value).isNotNull()).groupBy(sample).agg(
-        F.sort_array(F.collect_list(F.struct(feature, value))).alias("_c"))
-    whole = cells.where(F.size("_c") == len(names))
-    return whole.select(sample, array_to_vector(F.transform("_c", lambda c: c[value])).alias("features"))
+def sample_products(long: DataFrame, feature: str = "feature_id", sample: str = "sample_id",
+                    value: str = "value") -> tuple[list, np.ndarray]:
+    """The sample ids in order and the sample-by-sample sums of products over all features, each feature taken
+    around its mean.
+
+    Features are rows here, so any number of them is added up task by task; the driver holds samples squared.
+    A pair of samples that lacks some features is scaled up from those that both have; a sample without any
+    value is an error, and none is left out.
+    """
+    ids = [row[0] for row in long.select(sample).distinct().orderBy(sample).collect()]
+    n = len(ids)
+    place = long.sparkSession.createDataFrame([(v, i) for i, v in enumerate(ids)],
+                                              T.StructType([long.schema[sample], T.StructField("_at", T.IntegerType())]))
+    cells = attach(long.select(feature, sample, F.col(value).cast("double").alias("_v")), place, sample, "inner")
+    rows = cells.where("_v is not null").groupBy(feature).agg(F.collect_list(F.struct("_at", "_v")).alias("cells"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        product, both = np.zeros((n, n)), np.zeros((n, n))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):  # bounds the dense block
+                lists = batch.column("cells").slice(start, 256)
+                flat = lists.flatten()
+                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                at = flat.field("_at").to_numpy(zero_copy_only=False)
+                v = flat.field("_v").to_numpy(zero_copy_only=False)
+                here, x = np.zeros((len(lists), n)), np.zeros((len(lists), n))
+                here[row, at] = 1.0
+                mean = np.bincount(row, weights=v, minlength=len(lists)) / np.maximum(np.bincount(row, minlength=len(lists)), 1)
+                x[row, at] = v - mean[row]
+                product += x.T @ x
+                both += here.T @ here
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(list(product), pa.list_(pa.float64())),
+                                          pa.array(list(both), pa.list_(pa.float64()))], ["i", "product", "both"])
+
+    parts = rows.select("cells").mapInArrow(add, "i int, product array<double>, both array<double>")
+    total = lambda c: F.aggregate(
+        F.collect_list(c), F.array_repeat(F.lit(0.0), n), lambda a, x: F.zip_with(a, x, lambda u, w: u + w))
+    sums = parts.groupBy("i").agg(total("product").alias("product"), total("both").alias("both")).orderBy("i").collect()
+    product = np.array([r["product"] for r in sums]).reshape(n, n)
+    both = np.array([r["both"] for r in sums]).reshape(n, n)
+    empty = [i for i, c in zip(ids, np.diag(both)) if c == 0]
+    if empty:
+        raise ValueError(f"samples without values: {empty[:10]}")
+    features = both.max() if n else 0.0
+    return ids, product * np.where(both > 0, features / np.maximum(both, 1.0), 0.0)
+
+
+def _coordinates(products: np.ndarray, k: int) -> np.ndarray:
+    """Samples by their first k coordinates: eigenvectors times roots of the eigenvalues, the sign set by the
+    entry of greatest size."""
+    values, vectors = np.linalg.eigh((products + products.T) / 2)
+    order = np.argsort(values)[::-1][:k]
+    out = vectors[:, order] * np.sqrt(np.maximum(values[order], 0.0))
+    sign = np.sign(out[np.abs(out).argmax(0), np.arange(out.shape[1])]) if len(out) else 1.0
+    return out * np.where(sign == 0, 1.0, sign)
+
+
+def _table(long: DataFrame, sample: str, ids: list, coordinates: np.ndarray, names: Sequence[str]) -> DataFrame:
+    schema = T.StructType([long.schema[sample], *[T.StructField(c, T.DoubleType()) for c in names]])
+    return long.sparkSession.createDataFrame([(i, *map(float, row)) for i, row in zip(ids, coordinates)], schema)
 
 
 def pca(long: DataFrame, k: int, feature: str = "feature_id", sample: str = "sample_id", value: str = "value") -> DataFrame:
-    """Scores of the samples on the first k components, of centred features."""
-    means = long.groupBy(feature).agg(F.avg(value).alias("_m"))
-    centred = attach(long, means, feature).withColumn(value, F.col(value) - F.col("_m"))
-    vectors = sample_vectors(centred, feature, sample, value)
-    model = PCA(k=k, inputCol="features", outputCol="scores").fit(vectors)
-    scores = vector_to_array("scores")
-    return model.transform(vectors).select(sample, *[scores[i].alias(f"pc{i + 1}") for i in range(k)])
+    """Scores of all samples on the first k components, of centred features; any number of features."""
+    ids, products = sample_products(long, feature, sample, value)
+    return _table(long, sample, ids, _coordinates(products, k), [f"pc{i + 1}" for i in range(min(k, len(ids)))])
+
+
+def mds(long: DataFrame, k: int = 2, feature: str = "feature_id", sample: str = "sample_id", value: str = "value") -> DataFrame:
+    """Classical scaling of the Euclidean distances between samples to k dimensions."""
+    ids, products = sample_products(long, feature, sample, value)
+    centred = products - products.mean(0) - products.mean(1)[:, None] + products.mean() if len(ids) else products
+    return _table(long, sample, ids, _coordinates(centred, k), [f"dim{i + 1}" for i in range(min(k, len(ids)))])
 
 
 def pc_association(scores: DataFrame, pheno: DataFrame, columns: Sequence[str], sample: str = "sample_id") -> DataFrame:
@@ -75,10 +126,13 @@ def pc_association(scores: DataFrame, pheno: DataFrame, columns: Sequence[str],
 
 def cluster_samples(long: DataFrame, k: int, seed: int = 1, feature: str = "feature_id", sample: str = "sample_id",
                     value: str = "value") -> DataFrame:
-    """Top-down clustering of samples into k groups."""
-    vectors = sample_vectors(long, feature, sample, value)
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
-    return model.transform(vectors).select(sample, "cluster")
+    """Top-down clustering of all samples into k groups, on coordinates that keep their distances."""
+    ids, products = sample_products(long, feature, sample, value)
+    names = [f"_c{i}" for i in range(len(ids))]
+    points = _table(long, sample, ids, _coordinates(products, len(ids)), names).select(
+        sample, array_to_vector(F.array(*names)).alias("features"))
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
+    return model.transform(points).select(sample, "cluster")
 
 
 def group_means(long: DataFrame, in_first: Column, feature: str = "feature_id", value: str = "value",

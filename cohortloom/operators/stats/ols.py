@@ -13,9 +13,6 @@ from cohortloom.functions import tails
 from cohortloom.operators.matrix.core import factor_levels
 from cohortloom.session import materialise
 
-# Widest design that is solved densely on the driver.
-MAX_COLUMNS = 400
-
 
 @dataclass
 class CrossProducts:
@@ -52,36 +49,47 @@ def cross_products(df: DataFrame, y: str, terms: Sequence[str],
     if not totals["n"]:
         raise ValueError("no complete rows")
 
-    def around_mean(c):
-        return F.col(f"_m{place[c]}") - float(totals[c])
+    # Every row has few entries that are not 0: (place in the design, value).
+    names, owners, shifts, entries, first = ["(Intercept)"], ["(Intercept)"], [0.0], [F.struct(F.lit(0).alias("k"), F.lit(1.0).alias("x"))], {}
+
+    def number(c):
+        return F.struct(F.lit(first[c]).alias("k"), (F.col(f"_m{place[c]}") - F.lit(float(totals[c]))).alias("x"))
 
-    # (name, term, shift, column over the moments table, place among the numbers or None)
-    design = [("(Intercept)", "(Intercept)", 0.0, F.lit(1.0), None)]
     for term in terms:
         if term in place:
-            design.append((term, term, float(totals[term]), around_mean(term), place[term]))
+            first[term] = len(names)
+            names.append(term)
+            shifts.append(float(totals[term]))
+            entries.append(number(term))
+            owners.append(term)
         else:
-            found = levels.get(term) or factor_levels(moments, term, MAX_COLUMNS)
-            design += [(f"{term}{v}", term, 0.0, (F.col(term) == F.lit(v)).cast("double"), None) for v in list(found)[1:]]
-    if len(design) > MAX_COLUMNS:
-        raise ValueError(f"a design of {len(design)} columns is too wide for a dense solve")
-    cols = [*design, (y, y, float(totals[y]), around_mean(y), place[y])]
-
-    def product(left, right):
-        between = n * left[3] * right[3]
-        if left[4] is None or right[4] is None:
-            return F.sum(between)
-        i, j = sorted((left[4], right[4]))
-        return F.sum(between + F.col(f"_c{i}_{j}"))
-
-    p = len(cols)
-    cells = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = moments.agg(*[product(cols[i], cols[j]).alias(f"s{i}_{j}") for i, j in cells]).first()
-    full = np.zeros((p, p))
-    for i, j in cells:
-        full[i, j] = full[j, i] = sums[f"s{i}_{j}"]
-    return CrossProducts([d[0] for d in design], [d[1] for d in design], [d[2] for d in cols],
-                         int(totals["n"]), full)
+            found = list(levels.get(term) or factor_levels(moments, term))[1:]
+            if found:
+                at = F.array_position(F.lit(found), F.col(term))
+                entries.append(F.when(at > 0, F.struct((at.cast("int") + (len(names) - 1)).alias("k"), F.lit(1.0).alias("x"))))
+            names += [f"{term}{v}" for v in found]
+            shifts += [0.0] * len(found)
+            owners += [term] * len(found)
+    first[y] = len(names)
+    entries.append(number(y))
+    shifts.append(float(totals[y]))
+    # Products of the entries of a row, added up per pair of places: one aggregation for any width of design.
+    paired = F.explode(F.flatten(F.transform("_e", lambda a: F.transform(
+        F.filter("_e", lambda b: b["k"] >= a["k"]), lambda b: F.struct(a["k"].alias("i"), b["k"].alias("j"), (n * a["x"] * b["x"]).alias("s"))))))
+    sums = (moments.withColumn("_e", F.array_compact(F.array(*entries))).select(paired.alias("c")).groupBy("c.i", "c.j")
+            .agg(F.sum("c.s").alias("s")).collect())
+    full = np.zeros((len(names) + 1, len(names) + 1))
+    for row in sums:
+        full[row["i"], row["j"]] = row["s"]
+    within = moments.agg(*[F.sum(f"_c{i}_{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
+    used = [c for c in dict.fromkeys((*terms, y)) if c in first]
+    for a, left in enumerate(used):
+        for right in used[a:]:
+            i, j = sorted((place[left], place[right]))
+            p, q = sorted((first[left], first[right]))
+            full[p, q] += within[f"c{i}_{j}"]
+    full = np.triu(full) + np.triu(full, 1).T
+    return CrossProducts(names, owners, shifts, int(totals["n"]), full)
 
 
 def check_rank(names: Sequence[str], xtx: np.ndarray) -> None:

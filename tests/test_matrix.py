@@ -273,3 +273,25 @@ def test_differential_features(study):
     ranks = pd.DataFrame({"d": out["mean_diff"].abs().rank(method="min", ascending=False),
                           "q": out["quot_log2"].abs().rank(method="min", ascending=False), "p": out["p_value"].rank(method="min")})
     assert (out["combined_rank"] == ranks.max(axis=1)).all()
+
+
+def test_components_of_more_features_than_samples_keep_gappy_samples(spark):
+    from cohortloom.operators.matrix import reduce as red
+
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(6, 3000)) * np.array([3, 1, 1, 1, 1, 1])[:, None]
+    cells = [(f, f"s{s}", float(values[s, f])) for s in range(6) for f in range(3000)]
+    df = spark.createDataFrame(cells, "feature_id int, sample_id string, value double")
+    got = {r["sample_id"]: [r["pc1"], r["pc2"]] for r in red.pca(df, 2).collect()}
+    centred = values - values.mean(0)
+    u, s, _ = np.linalg.svd(centred, full_matrices=False)
+    want = u[:, :2] * s[:2]
+    have = np.array([got[f"s{i}"] for i in range(6)])
+    assert np.allclose(np.abs(have), np.abs(want), atol=1e-6)
+    flat = np.array([list(r)[1:] for r in sorted(red.mds(df, 5).collect())])
+    apart = lambda x: np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.allclose(apart(flat), apart(values), atol=1e-6)
+    gappy = df.where("not (sample_id = 's2' and feature_id % 7 = 0)")
+    assert red.pca(gappy, 2).count() == 6 and red.cluster_samples(gappy, 2).count() == 6
+    with pytest.raises(ValueError, match="without values"):
+        red.pca(df.unionByName(spark.createDataFrame([(1, "none", None)], df.schema)), 2)

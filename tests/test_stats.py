@@ -102,3 +102,15 @@ def test_coded_response_and_collinear_design(spark, data):
 
     with pytest.raises(ValueError):
         anova(data.withColumn("y2", F.col("y") * 2), "y", ["g", "y2", "y"])
+
+
+def test_a_wide_factor_needs_no_wide_expression(spark):
+    from cohortloom.operators.stats import ols as o
+
+    rng = np.random.default_rng(6)
+    rows = [(f"g{i % 1000:04d}", float(rng.normal()), float(rng.normal() + i % 1000)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    cp = o.cross_products(df, "y", ["g", "x"])
+    assert len(cp.names) == 1001
+    x = np.array([[1.0, *(float(r[0] == f"g{k:04d}") for k in range(1, 1000)), r[1] - cp.shifts[-2], r[2] - cp.shifts[-1]] for r in rows])
+    assert np.allclose(cp.full, x.T @ x, atol=1e-6)
