@@ -85,11 +85,35 @@ def row_index(df: DataFrame, order_by: Sequence[SortKey], partition_by: Sequence
             .select(*df.columns, out))
 
 
+def value_places(df: DataFrame, keys: Sequence[str], value: SortKey, name: str, max_group: int | None = None) -> DataFrame:
+    """(keys, value, ``_lo``, ``_hi``): every distinct value of a key holds the places _lo + 1 to _hi.
+
+    Equal rows are counted, map-side first, before anything is ordered, so a value that most rows share is one
+    row here and no range of the order is larger than the others.
+    """
+    counted = df.groupBy(*keys, name).agg(F.count("*").alias("_c"))
+    limit = max_group or MAX_GROUP_ROWS
+    counted = materialise(counted, "counted")
+    largest, total = group_sizes(counted, keys)
+    if largest <= limit:
+        upto = W.partitionBy(*keys).orderBy(*sort_columns([value])).rowsBetween(W.unboundedPreceding, 0)
+        placed = counted.withColumn("_hi", F.sum("_c").over(upto))
+    else:
+        pieces = _range_pieces(counted, keys, [value], total, limit).drop("_pos")
+        inside = W.partitionBy(*keys, "_piece").orderBy(*sort_columns([value])).rowsBetween(W.unboundedPreceding, 0)
+        earlier = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+        starts = (pieces.groupBy(*keys, "_piece").agg(F.sum("_c").alias("_n"))
+                  .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
+        placed = attach(pieces.withColumn("_in", F.sum("_c").over(inside)), starts, [*keys, "_piece"]).withColumn(
+            "_hi", F.col("_in") + F.col("_before"))
+    return placed.select(*keys, name, (F.col("_hi") - F.col("_c")).alias("_lo"), "_hi")
+
+
 def rank_of(df: DataFrame, col: str, out: str, descending: bool = False, max_group: int | None = None) -> DataFrame:
     """Rank of every row over the whole frame; equal values share the smallest place, NULL is last."""
     order = F.col(col).desc_nulls_last() if descending else F.col(col).asc_nulls_last()
-    places = row_index(df.select(col), [order], out=out, max_group=max_group)
-    return attach(df, places.groupBy(col).agg(F.min(out).alias(out)), col)
+    places = value_places(df.select(F.lit(1).alias("_all"), col), ["_all"], order, col, max_group)
+    return attach(df, places.select(col, (F.col("_lo") + 1).alias(out)), col)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -98,20 +122,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     grouped = list(keys) or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(1))
     src = src.select(*grouped, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    sizes = group_sizes(src, grouped)
-    if sizes[0] <= min(MAX_HELD_VALUES, max_group or MAX_HELD_VALUES):
+    if group_sizes(src, grouped)[0] <= min(MAX_HELD_VALUES, max_group or MAX_HELD_VALUES):
         out = src.groupBy(*grouped).agg(*[F.percentile("_v", F.lit(p)).alias(n)
                                           for p, n in zip(probs, names, strict=True)])
         return out.select(*keys, *names)
-    counts = src.groupBy(*grouped).agg(F.count("*").alias("_n"))
-    ranked = attach(row_index(src, ["_v"], grouped, "_rn", max_group, sizes), counts, grouped)
+    places = materialise(value_places(src, grouped, "_v", "_v", max_group), "places")
+    ranked = attach(places, places.groupBy(*grouped).agg(F.max("_hi").alias("_n")), grouped)
     aggs, wanted = [], F.lit(False)
     for p, name in zip(probs, names, strict=True):
         at = (F.col("_n") - 1) * F.lit(float(p))
         lo, hi = F.floor(at) + 1, F.ceil(at) + 1
-        wanted = wanted | (F.col("_rn") == lo) | (F.col("_rn") == hi)
-        low = F.max(F.when(F.col("_rn") == lo, F.col("_v")))
-        high = F.max(F.when(F.col("_rn") == hi, F.col("_v")))
+        on_low = (F.col("_lo") < lo) & (lo <= F.col("_hi"))
+        on_high = (F.col("_lo") < hi) & (hi <= F.col("_hi"))
+        wanted = wanted | on_low | on_high
+        low = F.max(F.when(on_low, F.col("_v")))
+        high = F.max(F.when(on_high, F.col("_v")))
         frac = F.max(at - F.floor(at))
-        aggs.append((low + (high - low) * frac).alias(name))
+        # As the aggregate of small groups does it, to the last bit.
+        aggs.append(F.when(low == high, low).otherwise((1 - frac) * low + frac * high).alias(name))
     return ranked.where(wanted).groupBy(*grouped).agg(*aggs).select(*keys, *names)

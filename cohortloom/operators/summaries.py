@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortloom.operators.joins import attach, keep_in
-from cohortloom.operators.ordering import SortKey, exact_quantiles, ordered_pieces, row_index, sort_columns
+from cohortloom.operators.ordering import (
+    SortKey, exact_quantiles, ordered_pieces, row_index, sort_columns, value_places)
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -123,7 +124,8 @@ def ungroup_values(df: DataFrame, key: str, value: str, order_by: Sequence[SortK
 def sorted_values(df: DataFrame, key: str, value: str, max_group: int | None = None) -> DataFrame:
     """All known values of every key in ascending order, numbered inside the key."""
     src = _known_keys(df, [key]).select(key, value).where(F.col(value).isNotNull())
-    return row_index(src, [value], [key], "position", max_group)
+    places = value_places(src, [key], value, value, max_group)
+    return places.select(key, value, F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))).alias("position"))
 
 
 def nest_per_key(df: DataFrame, key: str, cols: Sequence[str], order_by: Sequence[SortKey],

@@ -119,3 +119,17 @@ def test_nested_rows_come_in_bounded_chunks(skewed):
     assert out["rows"].map(len).max() <= 100
     hot = out[out["key"] == "hot"].sort_values("chunk")
     assert [r["id"] for rows in hot["rows"] for r in rows] == sorted(pdf[pdf["key"] == "hot"]["id"])
+
+
+def test_equal_rows_are_counted_before_they_are_ordered(spark, monkeypatch):
+    """80 % of all rows are one value: no range of the order may hold more than its share."""
+    rows = [(1, 5.0)] * 8000 + [(1, float(i % 700)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(6)
+    seen = []
+    real = ordering._range_pieces
+    monkeypatch.setattr(ordering, "_range_pieces", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = ordering.exact_quantiles(df, ["k"], "v", [0.1, 0.5, 0.99], ["a", "b", "c"], max_group=LIMIT).first()
+    assert np.allclose(list(got)[1:], np.quantile([v for _, v in rows], [0.1, 0.5, 0.99]))
+    assert max(r["count"] for r in seen[0].groupBy("_piece").count().collect()) <= LIMIT
+    positions = summaries.sorted_values(df, "k", "v", max_group=LIMIT).orderBy("position").collect()
+    assert [r["v"] for r in positions] == sorted(v for _, v in rows) and positions[-1]["position"] == len(rows)
