@@ -31,7 +31,9 @@ from cohortloom.session import materialise
 
 TREES, DEPTH = 24, 8
 REACH = 12                # neighbours on each side in sorted order
-LEADERS = 4               # classes nearest to the majority of a crowded region
+CROWD, CROWD_DEPTH = 48, 5  # where more classes than this share so long a prefix, the reach is
+CROWD_REACH = 2             # this, and the rest is left to the other trees and to
+LEADERS = 4                 # the classes nearest to the majority of a crowded region
 CROWDED_DEPTHS = (3, 5, 8)
 RANGE_ROWS = 200_000      # sorted rows per task
 BROADCAST_ROWS = 500_000  # of 20 bytes each
@@ -117,10 +119,12 @@ def tree_pairs(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, need: int)
         found.append(np.stack([np.minimum(node[a[ok]], node[b[ok]]), np.maximum(node[a[ok]], node[b[ok]])], 1))
 
     common = same.copy()
+    run = np.concatenate(([0], np.cumsum(same < CROWD_DEPTH + 1)))
+    sparse = np.bincount(run)[run] <= CROWD
     for step in range(1, min(REACH, n - 1) + 1):
         if step > 1:
             common = np.minimum(common[:-1], same[step - 1:])
-        at = np.flatnonzero(common >= 2)
+        at = np.flatnonzero((common >= 2) & (sparse[:n - step] | (step <= CROWD_REACH)))
         close(at, at + step)
     for depth in CROWDED_DEPTHS:
         run = np.concatenate(([0], np.cumsum(same < depth + 1)))
@@ -185,10 +189,38 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def local_forests(links: DataFrame) -> DataFrame:
+    """Stars (u, v), u > v, with the components that the links of each partition make on their own.
+
+    A partition never gives more rows than it has nodes, however many links a group of near copies has.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x):
+            path = []
+            while (up := parent.setdefault(x, x)) != x:
+                path.append(x)
+                x = up
+            for y in path:
+                parent[y] = x
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+        stars = [(x, root(x)) for x in list(parent)]
+        stars = np.array([p for p in stars if p[0] != p[1]], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(stars[:, 0]), pa.array(stars[:, 1])], ["u", "v"])
+
+    return links.select("a", "b").mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest reachable node, for every node that has a link.
 
-    Large-star links every larger neighbour of a node to its smallest one, small-star does so for the smaller
+    The links are written and folded per stored partition first. Large-star links every larger neighbour of a node to its smallest one, small-star does so for the smaller
     ones; both keep components, and the links end as stars. Each round writes its links.
     """
     def shape(row):
@@ -197,7 +229,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     def digest(edges):
         return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
 
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    edges = materialise(local_forests(materialise(links, "links")).distinct(), name)
     before = shape(digest(edges))
     while True:
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
