@@ -1,7 +1,7 @@
 """Chat formatting of reply trees, in DataFrame operations only.
 
-A tree is a set of messages with parents. Paths from the roots to the leaves come from self-joins that double
-their reach each round: a message's known ancestors are followed by those of the highest of them. Branches are
+A tree is a set of messages with parents. Paths from the roots to the leaves come from iterative self-joins that
+double their reach each round. Branches are
 ranked by the score of their path, and each chosen path becomes one conversation.
 
 The template writes a turn as ``<s>[INST] role [/INST] text </s>``. These four control strings and the backslash
@@ -16,6 +16,8 @@ A conversation is one output row, so one conversation has to fit a row; how many
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,27 +54,35 @@ def turn_chains(turns: DataFrame, conversation: str = "conv_id", turn: str = "tu
 def leaf_paths(tree: DataFrame) -> DataFrame:
     """(tree, leaf, path, score): the nodes from root to leaf and the sum of their scores, for every leaf.
 
-    ``path`` holds node numbers only; texts are joined once the branches are chosen.
+    Ancestor links double their reach each round, and so do the paths that climb from the leaves along them; nodes
+    whose links have passed the root drop out, so rounds for one deep tree don't touch the others. ``path`` holds
+    node numbers only; texts are joined once the branches are chosen.
     """
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    known = tree.select("tree", "node")
-    parent = known.select(F.col("tree").alias("__t"), F.col("node").alias("__n"))
+    here = lambda a, b: F.col("tree").eqNullSafe(F.col("__t")) & (F.col(a) == F.col(b))
+    known = tree.select(F.col("tree").alias("__t"), F.col("node").alias("__n"))
     # A parent that is not in the tree makes its child a root.
-    links = tree.select("tree", "node", "parent", "score").join(parent, same("tree", "__t") & (F.col("parent") == F.col("__n")), "left")
-    hops = materialise(links.select("tree", "node", F.array("node").alias("path"), "score", F.col("__n").alias("up")), "paths")
+    links = materialise(tree.where("parent is not null").join(known, here("parent", "__n"), "left_semi")
+                        .select("tree", "node", F.col("parent").alias("up")), "links")
+    parents = links.select(F.col("tree").alias("__t"), F.col("up").alias("__n")).distinct()
+    leaves = tree.join(parents, here("node", "__n"), "left_anti")
+    climbed = [materialise(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("far")), "climb")]
+    reach = 1
     for _ in range(MAX_ROUNDS):
-        if hops.where("up is not null").isEmpty():
+        if links.isEmpty():
             break
-        above = hops.select(F.col("tree").alias("__t"), F.col("node").alias("__n"), F.col("path").alias("__p"),
-                            F.col("score").alias("__s"), F.col("up").alias("__u"))
-        hops = materialise(hops.join(above, same("tree", "__t") & (F.col("up") == F.col("__n")), "left").select(
-            "tree", "node", F.concat(F.coalesce("__p", F.array().cast("array<long>")), "path").alias("path"),
-            (F.col("score") + F.coalesce("__s", F.lit(0.0))).alias("score"), F.col("__u").alias("up")), "paths")
+        jump = links.select(F.col("tree").alias("__t"), F.col("node").alias("__n"), F.col("up").alias("__u"))
+        so_far = reduce(DataFrame.unionByName, climbed)
+        climbed.append(materialise(so_far.join(jump, here("node", "__n")).select(
+            "tree", "leaf", F.col("__u").alias("node"), (F.col("far") + reach).alias("far")), "climb"))
+        links = materialise(links.join(jump, here("up", "__n")).select("tree", "node", F.col("__u").alias("up")), "links")
+        reach *= 2
     else:
         raise ValueError("reply trees hold a cycle")
-    parents = tree.where("parent is not null").select(F.col("tree").alias("__t"), F.col("parent").alias("__n")).distinct()
-    return hops.join(parents, same("tree", "__t") & (F.col("node") == F.col("__n")), "left_anti").select(
-        "tree", F.col("node").alias("leaf"), "path", "score")
+    scores = tree.select(F.col("tree").alias("__t"), F.col("node").alias("__n"), "score")
+    steps = reduce(DataFrame.unionByName, climbed).join(scores, here("node", "__n"))
+    return steps.groupBy("tree", "leaf").agg(
+        F.sort_array(F.collect_list(F.struct("far", "node")), asc=False).alias("steps"), F.sum("score").alias("score")).select(
+        "tree", "leaf", F.col("steps.node").alias("path"), "score")
 
 
 def chosen_branches(paths: DataFrame, best: int | None = None) -> DataFrame:
