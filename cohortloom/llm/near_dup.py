@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from cohortloom.llm import words
 from cohortloom.session import materialise
 
-TREES, DEPTH = 24, 8
+TREES, DEPTH = 32, 8
 REACH = 12                # neighbours on each side in sorted order
 CROWD, CROWD_DEPTH = 48, 5  # where more classes than this share so long a prefix, the reach is
-CROWD_REACH = 2             # this, and the rest is left to the other trees and to
+CROWD_REACH = 3             # this, and the rest is left to the other trees and to
 LEADERS = 4                 # the classes nearest to the majority of a crowded region
 CROWDED_DEPTHS = (3, 5, 8)
 RANGE_ROWS = 200_000      # sorted rows per task
