@@ -19,8 +19,8 @@ from cohortloom.session import materialise
 
 _RIGHT = "_right_"
 
-# Most rows of region bins that are sent whole to every executor.
-MAX_BROADCAST_ROWS = 500_000
+# Most bytes of region bins that are sent whole to every executor.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -191,15 +191,16 @@ def region_join(sites: DataFrame, regions: DataFrame, bin_width: int, how: str =
 
     Regions are listed once per bin they touch and meet sites by (chrom, bin), so the range
     test is only a filter on an equality join. Size estimates do not see how far the listing
-    grows, so its true row count decides between a broadcast and a shuffle.
+    grows, so its size, counted in bytes of the regions as text, decides between a broadcast and a shuffle.
     """
     if bin_width < 1:
         raise ValueError("bin_width must be positive")
     span = F.floor(F.col("end") / bin_width) - F.floor(F.col("start") / bin_width) + 1
-    listed = regions.agg(F.sum(span).alias("n")).first()["n"] or 0
+    width = F.octet_length(F.to_json(F.struct("*"))) + 16
+    listed = regions.select(span.alias("_n"), width.alias("_w")).agg(F.sum(F.col("_n") * F.col("_w")).alias("b")).first()["b"] or 0
     binned = regions.withColumn("_bin", F.explode(F.sequence(
         F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width)))).withColumnRenamed("chrom", "_chrom")
-    binned = F.broadcast(binned) if listed <= MAX_BROADCAST_ROWS else binned.hint("shuffle_merge")
+    binned = F.broadcast(binned) if listed <= MAX_BROADCAST_BYTES else binned.hint("shuffle_merge")
     left = sites.withColumn("_site_bin", F.floor(F.col("pos") / bin_width))
     cond = ((F.col("chrom") == F.col("_chrom")) & (F.col("_site_bin") == F.col("_bin"))
             & F.col("pos").between(F.col("start"), F.col("end")))

@@ -53,5 +53,5 @@ def rank_cutoff(df: DataFrame, col: str, n: int) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
-    """n rows without replacement, the same ones every run: the smallest seeded hashes of the key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """n rows without replacement, the same ones every run and in any engine: the smallest md5 of seed and key."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])), *key).limit(n)

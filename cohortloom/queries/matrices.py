@@ -9,6 +9,7 @@ from cohortloom.operators.matrix import combat as cb
 from cohortloom.operators.matrix import core, covariates, differential, filters, normalise
 from cohortloom.operators.matrix import reduce as red
 from cohortloom.operators.matrix import regions as rg
+from cohortloom.session import materialise
 from cohortloom.queries.registry import (EMBEDDING_SQL, PROBE_SQL, REGION_SQL, Tables, embedding_matrix, probe_matrix,
                                          query, r, regions, sites)
 
@@ -254,6 +255,22 @@ def pca(t: Tables):
     return red.pca(embedding_matrix(t), 3)
 
 
+@query(f"""
+WITH {EMBEDDING_SQL}, c AS (SELECT sample_id, value - avg(value) OVER (PARTITION BY feature_id) AS v FROM matrix)
+SELECT sample_id, round(sum(v * v), 6) AS size FROM c GROUP BY 1
+""")
+def pca_sizes(t: Tables):
+    """All components of a sample together keep its distance from the mean, whatever their signs."""
+    scores = red.pca(embedding_matrix(t), 64)
+    size = sum((F.col(c) * F.col(c) for c in scores.columns[2:]), F.col("pc1") * F.col("pc1"))
+    return scores.select("sample_id", r(size).alias("size"))
+
+
+@query(f"WITH {EMBEDDING_SQL} SELECT feature_id, sample_id, value FROM matrix")
+def stored_matrix(t: Tables):
+    return materialise(embedding_matrix(t).select("feature_id", "sample_id", "value"), "matrix")
+
+
 @query()
 def pc_association(t: Tables):
     m = embedding_matrix(t)

@@ -74,7 +74,7 @@ def rank_cutoff(t: Tables):
     return ranking.rank_cutoff(t.part.select("p_partkey", "p_size"), "p_size", 100)
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 13")
 def sample_n(t: Tables):
     return ranking.sample_n(t.documents.select("doc_id", "lang"), 13, 7, ["doc_id"])
 
