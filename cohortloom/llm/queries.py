@@ -45,7 +45,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
                CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
                len(l) AS n_lines FROM s LEFT JOIN r USING (rid)),
   b AS (SELECT *, (n_words < 50)::INTEGER + 2 * (100 * n_repeat_words > 50 * n_words)::INTEGER
-               + 4 * (10 * n_symbols > n_words)::INTEGER + 8 * (100 * n_dup_lines > 30 * n_lines)::INTEGER
+               + 4 * (10 * n_symbols > n_words)::INTEGER + 8 * (100 * n_dup_lines > 50 * n_lines)::INTEGER
                + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 14 * n_words))::INTEGER AS failed_bits
         FROM m)
   SELECT *, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM b""")

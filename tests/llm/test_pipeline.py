@@ -18,7 +18,7 @@ def rules_by_hand(text):
     covered = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in (i, i + 1, i + 2)}
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return not (len(words) < 50 or 100 * len(covered) > 50 * len(words) or 10 * len(re.findall(r"[#*$%&|<>]", text)) > len(words)
-                or 100 * (len(lines) - len(set(lines))) > 30 * len(lines) or not 2 * len(words) <= sum(map(len, words)) <= 14 * len(words))
+                or 100 * (len(lines) - len(set(lines))) > 50 * len(lines) or not 2 * len(words) <= sum(map(len, words)) <= 14 * len(words))
 
 
 @pytest.fixture(scope="module")
