@@ -62,8 +62,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Ship the package to the workers and turn on run-time plan changes that hot keys need: joins may split a hot partition even
+    """Ship the package to the workers, bound the batches they get and turn on run-time plan changes that hot keys need: joins may split a hot partition even
     where a later stage has to shuffle again for it."""
+    # Rows may be whole texts: batches for Python workers stay small on both sides.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     for name in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
                  "spark.sql.adaptive.forceOptimizeSkewedJoin"):
         spark.conf.set(name, "true")
