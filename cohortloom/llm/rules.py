@@ -76,7 +76,8 @@ def _repeat_words(words: Column) -> Column:
         steps = F.transform(p, lambda at, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - at, F.lit(3))).cast("long"))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return places(words)
+    # Bound once, as the optimizer may move this expression to where ``words`` is not a column any more.
+    return _let(words, lambda w: F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(places(w)))
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -129,5 +130,6 @@ def accepted(docs: DataFrame, text: str = "text", version: int = max(POLICIES))
     """The documents, with their own columns only, that the policy keeps."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"),
                          F.col(f"`{text}`").alias("__body"))
-    judged = verdict(ledger(packed, "__body", ["__doc"]), version)
-    return judged.where("kept").select(*[F.col("__doc")[c].alias(c) for c in docs.columns])
+    # The row number keeps the filter above the measurements: below them it would take each anew per rule.
+    judged = verdict(ledger(packed, "__body", ["__doc"]), version).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where("kept AND __row >= 0").select(*[F.col("__doc")[c].alias(c) for c in docs.columns])
