@@ -37,6 +37,7 @@ SAMPLE_DOCS = 400           # labelled documents per language that the models ar
 MAX_LANGUAGES = 500
 MAX_MODEL_BYTES = 256 << 20
 SLICE_BYTES = 2 << 20
+CACHED_WORDS = 150_000       # per task
 TEMPERATURES = [0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0]
 UNKNOWN = "und"
 BEGIN, END = "\x02", "\x03"
@@ -242,8 +243,9 @@ def entropies(docs: DataFrame, model: Models, keep: list[str], text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        cache = WordCache(len(m.languages))
         for batch in words.slices(batches, "text", SLICE_BYTES):
-            symbols, bits = text_bits(batch.column("text"), m)
+            symbols, bits = text_bits(batch.column("text"), m, cache)
             h = bits / np.maximum(symbols, 1)[:, None]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), pa.array(symbols), pa.array(list(h), pa.list_(pa.float64()))], ["doc", "__symbols", "__h"])
@@ -251,7 +253,29 @@ def entropies(docs: DataFrame, model: Models, keep: list[str], text: str = "text
     return packed.mapInArrow(run, schema).select(*[F.col("doc")[c].alias(c) for c in keep], "__symbols", "__h")
 
 
-def text_bits(column: pa.Array, model: Models) -> tuple[np.ndarray, np.ndarray]:
+class WordCache:
+    """Bits of words that a worker has scored, as sorted hashes; past its bound it starts anew."""
+
+    def __init__(self, width: int, bound: int = CACHED_WORDS):
+        self.bound = bound
+        self.keys, self.bits = np.zeros(0, np.uint64), np.zeros((0, width))
+
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the cache, whether each of the sorted keys is there)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def add(self, keys: np.ndarray, bits: np.ndarray) -> None:
+        if len(self.keys) > self.bound:
+            self.keys, self.bits = keys, bits
+            return
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.bits = np.insert(self.keys, where, keys), np.insert(self.bits, where, bits, axis=0)
+
+
+def text_bits(column: pa.Array, model: Models, cache: WordCache | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(predicted symbols, bits per language) of every row."""
     column = pc.utf8_lower(pc.fill_null(column, ""))
     rows = len(column)
@@ -274,16 +298,23 @@ def text_bits(column: pa.Array, model: Models) -> tuple[np.ndarray, np.ndarray]:
     inner = np.arange(int(length.sum())) - np.repeat(first, length)
     power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(length.max()), _RADIX, np.uint64))))
     hashed = np.add.reduceat((codes[np.repeat(start, length) + inner].astype(np.uint64) + np.uint64(7)) * power[inner], first)
-    _, some, which = np.unique(words.mix(hashed ^ length.astype(np.uint64)), return_index=True, return_inverse=True)
-    n = length[some] + 2
-    begin = np.cumsum(n) - n
-    place = np.arange(int(n.sum())) - np.repeat(begin, n)
-    flat = np.zeros(len(place), np.uint32)
-    middle = (place > 0) & (place < np.repeat(n, n) - 1)
-    flat[middle] = codes[(np.repeat(start[some], n) + place - 1)[middle]]
-    flat[begin] = ord(BEGIN)
-    flat[begin + n - 1] = ord(END)
-    word_bits = np.add.reduceat(model.surprise(flat, place), begin, axis=0)
+    keys, some, which = np.unique(words.mix(hashed ^ length.astype(np.uint64)), return_index=True, return_inverse=True)
+    cache = cache or WordCache(width)
+    at, known = cache.split(keys)
+    word_bits = np.empty((len(keys), width))
+    word_bits[known] = cache.bits[at[known]]
+    new = some[~known]
+    if len(new):
+        n = length[new] + 2
+        begin = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(begin, n)
+        flat = np.zeros(len(place), np.uint32)
+        middle = (place > 0) & (place < np.repeat(n, n) - 1)
+        flat[middle] = codes[(np.repeat(start[new], n) + place - 1)[middle]]
+        flat[begin] = ord(BEGIN)
+        flat[begin + n - 1] = ord(END)
+        word_bits[~known] = np.add.reduceat(model.surprise(flat, place), begin, axis=0)
+        cache.add(keys[~known], word_bits[~known])
     symbols = np.bincount(row, weights=length + 1, minlength=rows).astype(np.int64)
     bits = np.stack([np.bincount(row, weights=word_bits[which, j], minlength=rows) for j in range(width)], 1)
     return symbols, bits
