@@ -32,7 +32,7 @@ from cohortloom.llm import words
 
 WIDTH = 10
 BLOCK_BYTES = 8 << 20   # benchmark text searched, and sent to the tasks, at a time
-SHARD_BYTES = 4 << 20   # document text per index
+SHARD_BYTES = 2 << 20   # document text per index
 SAMPLE = 8              # every so many text positions keep their place
 
 

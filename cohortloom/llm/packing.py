@@ -149,10 +149,11 @@ class _Stream:
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, doc_id: str = "doc_id",
-         text: str = "text", with_ids: bool = False) -> DataFrame:
+         text: str = "text", with_ids: bool = False, cached_pieces: int = vocab.CACHED_PIECES) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
 
     ``sequence_id`` holds the partition above its 40 low bits, so ids need no pass over all data.
+    ``cached_pieces`` bounds what a worker remembers of tokenized pieces; the result does not depend on it.
     """
     shared = vocab.share(docs.sparkSession, tokenizer)
     long = T.LongType()
@@ -162,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         schema = schema.add("ids", T.ArrayType(T.IntegerType(), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = vocab.encoder(shared)
+        enc = vocab.encoder(shared, cached_pieces)
         marks = np.zeros(int(max(enc.tokenizer.get_vocab().values())) + 1, np.int8)
         for kind, signs in ((CLAUSE, ",;:"), (SENTENCE, ".!?")):
             marks[vocab.ids_where(enc.tokenizer, lambda t, signs=signs: set(t.removesuffix("</w>")) & set(signs)

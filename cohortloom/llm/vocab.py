@@ -45,7 +45,7 @@ def share(spark: SparkSession, path: str) -> Broadcast:
 class Encoder:
     """Tokenizer with a bounded cache of pieces. One per Python worker."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, cached: int = CACHED_PIECES):
         # A task has one core: the library's own threads would only wait for each other.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -54,12 +54,13 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {}
+        self.cached = cached
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         known = self.cache
         found = list(map(known.get, pieces))
         new = [i for i, v in enumerate(found) if v is None]
-        if len(known) > CACHED_PIECES:
+        if len(known) > self.cached:
             known.clear()
         for i, e in zip(new, self.tokenizer.encode_batch_fast([pieces[i] for i in new], add_special_tokens=False),
                         strict=True):
@@ -103,12 +104,12 @@ class Encoder:
         return table[place], per_row
 
 
-def encoder(shared: Broadcast) -> Encoder:
+def encoder(shared: Broadcast, cached: int = CACHED_PIECES) -> Encoder:
     """The worker's encoder for a shared vocabulary."""
-    key = hash(shared.value)
+    key = hash((shared.value, cached))
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Encoder(shared.value)
+        _loaded[key] = Encoder(shared.value, cached)
     return _loaded[key]
 
 

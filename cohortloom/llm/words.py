@@ -47,6 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(int(np.searchsorted(ends, before + limit, "right")), start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back to the system
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
