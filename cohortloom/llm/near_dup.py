@@ -71,6 +71,12 @@ def signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def tree_keys(sign: np.ndarray) -> np.ndarray:
+    """Signatures as big-endian bytes that sort by tree level. All 32 bits count: the minima of long texts are small
+    numbers that differ in their low bits only."""
+    return sign.astype(">u4")
+
+
 def profiles(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     """Set size, class digest, tree keys and sketch of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +90,7 @@ def profiles(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
                 digest = np.stack([np.add.reduceat(words.mix(value ^ np.uint64(c)), first)
                                    for c in (0x51ED270B7F4A7C15, 0x2545F4914F6CDD1D)], 1)
                 sign = signatures(value, first)
-                tree = (sign >> np.uint32(16)).astype(">u2")
+                tree = tree_keys(sign)
                 bit = np.packbits((sign & np.uint32(1)).astype(np.uint8), axis=1)
                 for i, r in enumerate(some.tolist()):
                     cls[r], keys[r], sketch[r] = digest[i].tobytes(), tree[i].tobytes(), bit[i].tobytes()
@@ -145,7 +151,7 @@ def candidates(classes: DataFrame, similarity: float, count: int) -> DataFrame:
     need = least_agreement(similarity, TREES * DEPTH)
     trees = classes.select("node", "sketch", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
-            t.alias("tree"), F.col("keys").substr(t * 2 * DEPTH + 1, F.lit(2 * DEPTH)).alias("key")))).alias("x"))
+            t.alias("tree"), F.col("keys").substr(t * 4 * DEPTH + 1, F.lit(4 * DEPTH)).alias("key")))).alias("x"))
     trees = trees.select(F.col("x.tree").alias("tree"), F.col("x.key").alias("key"), "node", "sketch")
     parts = max(-(-count * TREES // RANGE_ROWS), 8)
 
@@ -154,8 +160,8 @@ def candidates(classes: DataFrame, similarity: float, count: int) -> DataFrame:
         if not got:
             return
         table = pa.Table.from_batches(got)
-        key = np.frombuffer(b"".join(table["key"].to_pylist()), ">u2").reshape(-1, DEPTH).astype(np.int32)
-        key = np.concatenate([table["tree"].to_numpy()[:, None].astype(np.int32), key], 1)
+        key = np.frombuffer(b"".join(table["key"].to_pylist()), ">u4").reshape(-1, DEPTH).astype(np.uint32)
+        key = np.concatenate([table["tree"].to_numpy()[:, None].astype(np.uint32), key], 1)
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(key), -1)
         pairs = tree_pairs(key, table["node"].to_numpy(), sketch, need)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])

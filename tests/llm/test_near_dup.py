@@ -94,3 +94,26 @@ def test_class_digest_ignores_order_of_shingles():
 
     value, owner, rows = nd.row_sets(pa.array(["a b c d e a b c d e", "a b c d e a b c d e a b c d", None]), 4)
     assert rows == 3 and np.bincount(owner, minlength=3).tolist() == [5, 5, 0]
+
+
+def forest(sign):
+    """All candidate pairs of signatures, tree by tree as in the query."""
+    keys = nd.tree_keys(sign)
+    sketch = np.packbits((sign & np.uint32(1)).astype(np.uint8), axis=1).view(np.uint64)
+    found = set()
+    for t in range(nd.TREES):
+        part = np.ascontiguousarray(keys[:, t * nd.DEPTH:(t + 1) * nd.DEPTH])
+        order = np.array(sorted(range(len(part)), key=lambda i: part[i].tobytes()))
+        key = np.concatenate([np.full((len(part), 1), t), part[order]], 1).astype(np.int64)
+        found |= set(map(tuple, nd.tree_pairs(key, order, sketch[order], 0).tolist()))
+    return found
+
+
+def test_pairs_of_very_long_texts():
+    rng = np.random.default_rng(5)
+    n, minima = 250, nd.TREES * nd.DEPTH
+    draw = lambda: rng.exponential(2**32 / 1_000_000, (n, minima)).astype(np.uint32)  # noqa: E731, minima of 1,000,000 shingles
+    left = draw()
+    right = np.where(rng.random((n, minima)) < 0.8, left, draw())
+    found = forest(np.concatenate([left, right]))
+    assert all((i, i + n) in found for i in range(n))
