@@ -6,7 +6,11 @@ each. In every tree the classes are sorted by signature, which puts those with l
 side; candidates are neighbours with a common prefix. The depth adapts to the region: where few classes share a
 prefix a short one is enough to be within reach, and where more share it than the reach, only those with longer
 common prefixes are. In such crowded regions each class also meets the few classes nearest to the region's bitwise
-majority, so that a text with more near copies than the reach is still compared with all of them.
+majority, which links most of a large group of copies.
+
+The reach decides no link: classes of a crowded region that these links leave in different components are compared
+with all others of their region, in blocks, first by sketch and then by full shingle sets. So two classes meet if
+they share the first five minima of any tree, however many others do.
 
 Candidates whose sign sketches are too far apart to come from similar sets are left out (five standard
 deviations below the threshold); the rest are confirmed on full shingle sets, and components follow by
@@ -37,6 +41,7 @@ LEADERS = 4                 # the classes nearest to the majority of a crowded r
 CROWDED_DEPTHS = (3, 5, 8)
 RANGE_ROWS = 200_000      # sorted rows per task
 BROADCAST_ROWS = 500_000  # of 20 bytes each
+BLOCK, BLOCK_BYTES = 512, 4 << 20  # classes and bytes of text on each side of a comparison of crowded classes
 
 _rng = np.random.default_rng(77_003)
 _MULT = _rng.integers(1, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -146,8 +151,23 @@ def tree_pairs(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, need: int)
     return np.unique(np.concatenate(found), axis=0)
 
 
+def crowd_rows(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their run) of the runs of a sorted part that the reach does not cover in full, and of its first and last
+    run, which may go on in other parts. Runs are negative numbers, the same in all parts."""
+    same = np.cumprod(key[1:] == key[:-1], axis=1).sum(1)
+    run = np.concatenate(([0], np.cumsum(same < CROWD_DEPTH + 1)))
+    take = np.bincount(run) > REACH + 1
+    take[[0, -1]] = True
+    rows = np.flatnonzero(take[run])
+    name = np.zeros(len(rows), np.uint64)
+    for level in range(CROWD_DEPTH + 1):
+        name = words.mix(name + key[rows, level].astype(np.uint64) + np.uint64(1))
+    return rows, (name | np.uint64(1 << 63)).view(np.int64)
+
+
 def candidates(classes: DataFrame, similarity: float, count: int) -> DataFrame:
-    """Different pairs (a, b), a < b, of class numbers whose signatures meet in some tree."""
+    """(a, b, run): different pairs a < b of class numbers whose signatures meet in some tree, without run, and the
+    classes a of every crowded run, without b."""
     need = least_agreement(similarity, TREES * DEPTH)
     trees = classes.select("node", "sketch", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
@@ -163,11 +183,16 @@ def candidates(classes: DataFrame, similarity: float, count: int) -> DataFrame:
         key = np.frombuffer(b"".join(table["key"].to_pylist()), ">u4").reshape(-1, DEPTH).astype(np.uint32)
         key = np.concatenate([table["tree"].to_numpy()[:, None].astype(np.uint32), key], 1)
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(key), -1)
-        pairs = tree_pairs(key, table["node"].to_numpy(), sketch, need)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        node = table["node"].to_numpy()
+        pairs = tree_pairs(key, node, sketch, need)
+        rows, name = crowd_rows(key)
+        for a, b, run in ((pairs[:, 0], pairs[:, 1], None), (node[rows], None, name)):
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b),
+                                              none if run is None else pa.array(run)], ["a", "b", "run"])
 
     ordered = trees.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long, run long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -267,6 +292,110 @@ def class_texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     return found.join(wanted, ["text_hash", "text_bytes"]).groupBy("node").agg(F.first("text").alias("text"))
 
 
+def block_pairs(x: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Which members of a cell are to be compared: those of its two blocks, or of its only one, in different components."""
+    apart = root[:, None] != root[None, :]
+    return apart & (x[:, None] != x[None, :]) if len(np.unique(x)) > 1 else apart
+
+
+def shared_counts(value: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """Number of common values of every two of ``rows`` sets."""
+    _, column, times = np.unique(value, return_inverse=True, return_counts=True)
+    out = np.zeros((rows, rows), np.float32)
+    common = np.flatnonzero(times > max(rows // 8, 1))  # in many sets: as dense columns
+    place = np.full(len(times), -1)
+    place[common] = np.arange(len(common))
+    for start in range(0, len(common), 4096):
+        at = np.flatnonzero((place[column] >= start) & (place[column] < start + 4096))
+        dense = np.zeros((rows, min(4096, len(common) - start)), np.float32)
+        dense[owner[at], place[column[at]] - start] = 1
+        out += dense @ dense.T
+    rest = np.flatnonzero((place[column] < 0) & (times[column] > 1))  # in few: by the list of their sets
+    column, owner = column[rest], owner[rest]
+    order = np.argsort(column, kind="stable")
+    lists = owner[order]
+    first, size = np.searchsorted(column[order], column), times[column]
+    edge = np.searchsorted(owner, np.arange(rows + 1))
+    for r in range(rows):
+        f, n = first[edge[r]:edge[r + 1]], size[edge[r]:edge[r + 1]]
+        if len(n):
+            at = np.repeat(f - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out[r] += np.bincount(lists[at], minlength=rows)
+    return out.astype(np.int64)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """As many of the links as tie the same together."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if (u := root(x)) != (v := root(y)):
+            parent[u] = v
+            kept.append((x, y))
+    return [x for x, _ in kept], [y for _, y in kept]
+
+
+def crowd_links(crowd: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, text: str, k: int,
+                percent: int) -> DataFrame | None:
+    """Links (a, b) between classes of crowded runs that are in different components so far, or None.
+
+    ``crowd``: (node, run). Runs with members in common are taken together, so that two classes are compared once. A
+    group is cut into blocks, and every two blocks make a cell. Cells drop classes whose sketch is close to none
+    first, then the texts of the others are compared in full. A cell gives fewer links than it has classes.
+    """
+    need = least_agreement(percent / 100, TREES * DEPTH)
+    rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    inside = materialise(rooted(crowd), "crowd")
+    mixed = inside.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("run")
+    mixed = materialise(inside.join(mixed, "run"), "mixed")
+    if mixed.isEmpty():
+        return None
+    groups = components(mixed.select(F.col("run").alias("a"), F.col("node").alias("b")), "crowds").where("node >= 0")
+    members = materialise(rooted(groups.withColumnRenamed("root", "crowd").join(
+        classes.select("node", "sketch", "text_bytes"), "node")), "members")
+    blocks = members.groupBy("crowd").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("text_bytes").cast("long")) / BLOCK_BYTES), F.lit(1)).alias("blocks"))
+    cells = members.join(blocks, "crowd").withColumn("x", F.pmod(F.xxhash64("node"), "blocks")).select(
+        "crowd", "node", "root", "sketch", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("y")).select(
+        "crowd", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "node", "root", "sketch")
+
+    def close(table: pa.Table) -> pa.Table:
+        x, root = table["x"].to_numpy(), table["root"].to_numpy()
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(x), -1)
+        if table["i"][0] != table["j"][0] and len(np.unique(x)) < 2:
+            return table.slice(0, 0).drop_columns(["sketch"])
+        apart = np.zeros((len(x), len(x)), np.int16)
+        for w in range(sketch.shape[1]):
+            apart += np.bitwise_count(sketch[:, None, w] ^ sketch[None, :, w])
+        ok = block_pairs(x, root) & (sketch.shape[1] * 64 - apart >= need)
+        return table.drop_columns(["sketch"]).filter(pa.array(ok.any(1)))
+
+    def exact(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, root, x = (table[c].to_numpy() for c in ("node", "root", "x"))
+        texts = table["text"]
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        value, owner, rows = row_sets(texts, k)
+        size = np.bincount(owner, minlength=rows)
+        shared = shared_counts(value, owner, rows)
+        ok = block_pairs(x, root) & (100 * shared >= percent * (size[:, None] + size[None, :] - shared))
+        a, b = np.nonzero(np.triu(ok))
+        a, b = spanning(node[a], node[b])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    key = "crowd long, i long, j long, x long, node long, root long"
+    near = materialise(cells.groupBy("crowd", "i", "j").applyInArrow(close, key), "near")
+    wanted = materialise(classes.select("node", "text_hash", "text_bytes").join(near.select("node").distinct(), "node"), "wanted")
+    texts = materialise(class_texts(docs, wanted, text), "texts")
+    return materialise(near.join(texts, "node").groupBy("crowd", "i", "j").applyInArrow(exact, "a long, b long"), "crowd_links")
+
+
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
@@ -275,11 +404,16 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         F.min("doc_id").alias("least_id"),
         F.first(F.struct("keys", "sketch", "text_hash", "text_bytes")).alias("of"))  # any member will do
     classes = materialise(folded.select("cls", "least_id", "of.*", F.monotonically_increasing_id().alias("node")), "classes")
-    pairs = materialise(candidates(classes, percent / 100, classes.count()), "pairs")
+    met = materialise(candidates(classes, percent / 100, classes.count()), "pairs")
+    pairs = met.where("run is null").select("a", "b")
     near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = materialise(classes.select("node", "text_hash", "text_bytes").join(near, "node"), "wanted")
     texts = materialise(class_texts(docs, wanted, text), "texts")
     roots = components(confirmed(pairs, texts, k, percent))
+    crowd = met.where("run is not null").select(F.col("a").alias("node"), "run")
+    more = crowd_links(crowd, classes, roots, docs, text, k, percent)
+    if more is not None and not more.isEmpty():
+        roots = components(roots.toDF("a", "b").unionByName(more))
     linked = classes.select("node", "cls", "least_id").join(roots, "node", "left").select(
         "cls", "least_id", F.coalesce("root", "node").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("least_id").alias("smallest"))

@@ -117,3 +117,56 @@ def test_pairs_of_very_long_texts():
     right = np.where(rng.random((n, minima)) < 0.8, left, draw())
     found = forest(np.concatenate([left, right]))
     assert all((i, i + n) in found for i in range(n))
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    sets = [set(rng.choice(60, 20).tolist()) | (set(range(1000, 1030)) if i % 3 else set()) for i in range(40)]
+    owner = np.repeat(np.arange(40), [len(x) for x in sets])
+    value = np.concatenate([sorted(x) for x in sets]).astype(np.uint64)
+    assert nd.shared_counts(value, owner, 40).tolist() == [[len(a & b) for b in sets] for a in sets]
+
+
+def test_every_pair_of_a_crowd_meets():
+    """A family larger than the reach: what the neighbours leave out is in a common crowded run."""
+    rng = np.random.default_rng(6)
+    n, minima = 1500, nd.TREES * nd.DEPTH
+    line = rng.integers(0, 2**32, minima, dtype=np.uint64).astype(np.uint32)
+    draw = lambda: rng.integers(0, 2**32, (n, minima), dtype=np.uint64).astype(np.uint32)
+    left = np.where(rng.random((n, minima)) < 0.997, line, draw())
+    right = np.where(rng.random((n, minima)) < 0.997, left, draw())
+    sign = np.concatenate([left, right])
+    found, runs = forest(sign), [set() for _ in range(2 * n)]
+    keys = nd.tree_keys(sign).astype(np.int64)
+    for t in range(nd.TREES):
+        part = keys[:, t * nd.DEPTH:(t + 1) * nd.DEPTH]
+        order = np.lexsort(part.T[::-1])
+        rows, name = nd.crowd_rows(np.concatenate([np.full((2 * n, 1), t), part[order]], 1))
+        for r, run in zip(order[rows].tolist(), name.tolist(), strict=True):
+            runs[r].add(run)
+    left_out = [i for i in range(n) if (i, i + n) not in found]
+    assert left_out  # the reach alone does not do
+    assert all(runs[i] & runs[i + n] for i in left_out)
+    assert all(run < 0 for r in runs for run in r)
+
+
+def test_crowds_are_compared_in_full(spark):
+    """Texts that share most of their words with all others, and 0.8 with one partner only, in several blocks."""
+    rng = random.Random(8)
+    line = vocabulary(410, rng)
+    docs = []
+    for i in range(350):
+        pair = vocabulary(28, rng)
+        docs += [(2 * i + j, " ".join(line + pair + vocabulary(50, rng))) for j in (0, 1)]
+    sets = [shingle_set(t, 4) for _, t in docs]
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    classes = nd.profiles(df, 4, "doc_id", "text").withColumnRenamed("doc_id", "node")
+    crowd = spark.createDataFrame([(d, -1) for d, _ in docs], "node long, run long")
+    roots = spark.createDataFrame([(1, 0)], "node long, root long")  # a pair that is linked already
+    got = nd.crowd_links(crowd, classes, roots, df, "text", 4, 80).collect()
+    want = {(a, b) for a in range(len(docs)) for b in range(a + 1, len(docs)) if near(a, b)} - {(0, 1)}
+    assert len(docs) > nd.BLOCK and len(want) == 349
+    assert {(min(r), max(r)) for r in map(tuple, got)} == want
+    done = spark.createDataFrame([(d, 0) for d, _ in docs if d], "node long, root long")
+    assert nd.crowd_links(crowd, classes, done, df, "text", 4, 80) is None
