@@ -427,17 +427,17 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, with their own columns, of which one per component stays: the one with the smallest id.
 
-    Of rows that share an id one stays. Documents with a NULL id stay: nothing tells which of them to keep.
+    Rows are judged one by one, by numbers that are written with them: rows that share an id and have unrelated texts
+    both stay, and of equal ids in a component the row with the smallest number stays. Documents with a NULL id do not
+    stand for those with one, nor the other way: of those in a component one stays as well.
     """
-    judged = near_components(docs, k, percent, doc_id, text).where(F.col("doc_id").isNotNull())
-    special = materialise(judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-                          .where("not kept or n > 1"), "verdicts").select(
-        F.col("doc_id").alias("__id"), F.struct("kept", "n").alias("__verdict"))
-    if special.count() <= BROADCAST_ROWS:
-        special = F.broadcast(special)
-    names = [F.col("__doc")[c].alias(c) for c in docs.columns]
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__doc"), docs[doc_id].alias("__id"))
-    marked = packed.join(special, "__id", "left")
-    once = marked.where("__verdict is null").select(*names)
-    many = marked.where("__verdict.kept").select("__id", "__doc").dropDuplicates(["__id"]).select(*names)
-    return once.unionByName(many)
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    judged = near_components(rows, k, percent, "__row", text).select(F.col("doc_id").alias("__row"), "component_id")
+    groups = judged.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    shared = materialise(judged.join(groups, "component_id").join(
+        rows.select("__row", rows[doc_id].alias("__id")), "__row"), "shared").withColumn("__none", F.col("__id").isNull())
+    kept = shared.groupBy("component_id", "__none").agg(F.min(F.struct("__id", "__row")).alias("of")).select("of.__row")
+    gone = materialise(shared.select("__row").join(kept, "__row", "left_anti"), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "__row", "left_anti").drop("__row")

@@ -170,3 +170,13 @@ def test_crowds_are_compared_in_full(spark):
     assert {(min(r), max(r)) for r in map(tuple, got)} == want
     done = spark.createDataFrame([(d, 0) for d, _ in docs if d], "node long, root long")
     assert nd.crowd_links(crowd, classes, done, df, "text", 4, 80) is None
+
+
+def test_rows_are_judged_one_by_one(spark):
+    """Unrelated texts of one id stay; a copy goes whichever id it shares; of copies without id one stays."""
+    a, b, c, d = (" ".join(vocabulary(30, random.Random(i))) for i in range(4))
+    rows = [(1, a, "stays"), (5, b, "stays"), (5, c, "stays"),
+            (7, a, "copy"), (7, d, "stays"), *[(None, "no id " + a, "null")] * 3]
+    out = nd.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, note string"), 4)
+    assert out.columns == ["doc_id", "text", "note"]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [*(r for r in rows if r[2] == "stays"), rows[-1]]))
