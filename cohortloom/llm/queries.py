@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import chat, decontaminate, fixity, language, near_dup, packing, rules, scoring, sharding, tokens
+from cohortloom.llm import (
+    chat, decontaminate, fixity, language, manifest, near_dup, packing, rules, scoring, sharding, tokens,
+)
 from cohortloom.session import configure, materialise
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +176,63 @@ def op6_merkle_audit(spark, folder):
 def op5_pseudo_likelihood(spark, folder):
     docs = table(spark, folder, "documents")
     return scoring.score(docs, scoring.fit(docs), ["doc_id"])
+
+
+# crc32 of decimal text: tab holds the 256 table entries.
+CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab)"""
+CRC = """xor(list_reduce([4294967295] || list_transform(string_split(CAST({} AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT),
+  lambda c, b: xor(c // 256, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def tree_sql(name: str, levels: int) -> str:
+    """CTEs ``name``1, 2, ... over ``name``0 (g, n, i, node), and ``name``s1, ... (g, i, l, r) with the siblings on each level."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}{k + 1} AS MATERIALIZED (SELECT g, (n + 15) // 16 AS n, i // 16 AS i,
+          CASE WHEN n = 1 THEN max(node) ELSE sha256(string_agg(node, '' ORDER BY i)) END AS node
+          FROM {name}{k} GROUP BY g, n, i // 16)""")
+        out.append(f"""{name}s{k} AS MATERIALIZED (SELECT a.g, a.i, a.n,
+          coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+          coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+          FROM {name}{k} a JOIN {name}{k} b ON a.g = b.g AND a.i // 16 = b.i // 16 GROUP BY a.g, a.i, a.n)""")
+    return ",\n".join(out)
+
+
+def manifest_sql(levels: int = 5, crowns: int = 3) -> str:
+    """The whole manifest for at most 16 ** levels documents a source and 16 ** crowns sources."""
+    framed = lambda x: f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+    h = lambda text: "sha256(" + " || ".join(framed(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [("t", k, f"d.i // {16 ** k}", "d.g") for k in range(levels)] + [("u", k, f"d.g // {16 ** k}", "0") for k in range(crowns)]
+    joins = " ".join(f"JOIN {t}s{k} {t}x{k} ON {t}x{k}.i = {i} AND {t}x{k}.g = {g}" for t, k, i, g in steps)
+    proof = " || ".join(f"{t}x{k}.l || {t}x{k}.r" for t, k, _, _ in steps)
+    folds, before = [], "f0"
+    for j, (t, k, _, _) in enumerate(steps):
+        folds.append(f"f{j + 1} AS (SELECT * REPLACE (CASE WHEN n_{t}{k} = 1 THEN h ELSE sha256(l_{t}{k} || h || r_{t}{k}) END AS h) "
+                     f"FROM {before})")
+        before = f"f{j + 1}"
+    beside = ", ".join(f"{t}x{k}.n AS n_{t}{k}, {t}x{k}.l AS l_{t}{k}, {t}x{k}.r AS r_{t}{k}" for t, k, _, _ in steps)
+    return f"""
+  WITH {CRC_TABLE},
+  d AS MATERIALIZED (SELECT doc_id, leaf, offered, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+         count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+    FROM (SELECT doc_id, source, {h('text')} AS leaf,
+                 CASE WHEN {CRC.format('doc_id')} % 5 = 0 THEN {h(lower)} END AS offered FROM documents, crc_table)),
+  t0 AS (SELECT g, n, i, leaf AS node FROM d), {tree_sql('t', levels)},
+  u0 AS (SELECT 0 AS g, (SELECT count(*) FROM t{levels}) AS n, g AS i, node FROM t{levels}), {tree_sql('u', crowns)},
+  f0 AS (SELECT d.doc_id, d.leaf, u0.node AS subroot, u{crowns}.node AS root, sha256({proof}) AS proof_sha256,
+                coalesce(d.offered, d.leaf) AS h, {beside}
+         FROM d JOIN u0 ON u0.i = d.g CROSS JOIN u{crowns} {joins}),
+  {", ".join(folds)}
+  SELECT doc_id, leaf, subroot, root, proof_sha256, h AS folded_root, h = root AS verified FROM {before}"""
+
+
+@query(manifest_sql())
+def op13_merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = manifest.leaf_hash(*[lowered if f == "text" else F.col(f) for f in fields])
+    offered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, tampered)
+    return manifest.manifest(docs, "source", "doc_id", fields, offered)
