@@ -96,6 +96,15 @@ def grow(nodes: DataFrame, most: int, field: str, name: str) -> tuple[list[DataF
     return levels, roots
 
 
+def beside(field: str) -> str:
+    """SQL that unfolds a parent into its slots: (s, node, beside), the hashes of all columns but the slot's own."""
+    texts = [f"coalesce({c}.{field}, '')" if field else f"coalesce({c}, '')" for c in SLOTS]
+    join = lambda some: f"concat({', '.join(some)})" if some else "''"
+    children = [f"struct({s} AS s, {SLOTS[s]} AS node, struct({join(texts[:s])} AS l, {join(texts[s + 1:])} AS r) AS beside)"
+                for s in range(FANOUT)]
+    return f"explode(array({', '.join(children)}))"
+
+
 def descend(levels: list[DataFrame], tops: DataFrame, field: str) -> DataFrame:
     """(subroot, i, node, path) of the children on the lowest level, from ``tops``: (g, n, subroot, path).
 
@@ -103,16 +112,11 @@ def descend(levels: list[DataFrame], tops: DataFrame, field: str) -> DataFrame:
     """
     above = None
     for k in range(len(levels) - 1, -1, -1):
-        inner = field if k == 0 else ""
-        hashes = [F.coalesce(hash_in(c, inner), F.lit("")) for c in SLOTS]
-        children = [F.struct(F.lit(s).alias("s"), F.col(SLOTS[s]).alias("node"), F.struct(
-            F.concat(F.lit(""), *hashes[:s]).alias("l"), F.concat(F.lit(""), *hashes[s + 1:]).alias("r")).alias("beside"))
-            for s in range(FANOUT)]
         # Groups whose single top node lies on this level begin here, the others come from the level above.
         begin = tops.where((F.col("n") > FANOUT ** k) & (F.col("n") <= FANOUT ** (k + 1))).select(
             "g", F.lit(0).cast("long").alias("i"), "subroot", "path")
         above = begin if above is None else begin.union(above.select("g", "i", "subroot", "path"))
-        rows = levels[k].join(above, ["g", "i"]).select("g", "i", "subroot", "path", F.explode(F.array(*children)).alias("c"))
+        rows = levels[k].join(above, ["g", "i"]).select("g", "i", "subroot", "path", F.expr(beside(field if k == 0 else "")).alias("c"))
         above = rows.where("c.node is not null").select(
             "g", "subroot", (F.col("i") * FANOUT + F.col("c.s")).alias("i"), F.col("c.node").alias("node"),
             F.concat(F.array("c.beside"), "path").alias("path"))
