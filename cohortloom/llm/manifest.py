@@ -156,7 +156,7 @@ def manifest(records: DataFrame, group: str, key: str, fields: list[str], presen
     if upper:
         top = records.sparkSession.range(1).select(long(0).alias("g"), long(size["count"]).alias("n"),
                                                    F.lit(None).cast("string").alias("subroot"), none.alias("path"))
-        over = descend(upper, top, "").select(F.col("i").alias("g"), F.col("node").alias("subroot"), "path")
+        over = descend(upper, materialise(top, "top"), "").select(F.col("i").alias("g"), F.col("node").alias("subroot"), "path")
     else:
         over = roots.select("g", F.col("node").alias("subroot"), none.alias("path"))
     tops = materialise(over.join(groups, "g").select("g", "n", "subroot", "path"), "tops")
