@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm import (
-    chat, decontaminate, fixity, language, manifest, near_dup, packing, rules, scoring, sharding, tokens,
+    chat, decontaminate, fixity, language, manifest, near_dup, packing, pii, rules, runs, scoring, sharding, tokens,
 )
 from cohortloom.session import configure, materialise
 
@@ -236,3 +236,46 @@ def op13_merkle_manifest(spark, folder):
     tampered = manifest.leaf_hash(*[lowered if f == "text" else F.col(f) for f in fields])
     offered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, tampered)
     return manifest.manifest(docs, "source", "doc_id", fields, offered)
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where one document in ten, by the checksum of its id, goes on in a period from some word on."""
+    def bind(value, body):  # so that a lambda does not compute the value anew for every element
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    split = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def tail(w):
+        n = F.greatest(F.size(w), F.lit(1))
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+        return bind(F.struct(a.alias("a"), p.alias("p")), lambda x: F.array_join(F.transform(
+            w, lambda word, i: F.when(i < x["a"], word).otherwise(F.get(w, x["a"] + (i - x["a"]) % x["p"]))), " "))
+
+    return docs.select("doc_id", F.when(h % 10 == 0, bind(split, tail)).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op12_periodic_runs(spark, folder):
+    found = runs.find_runs(with_periodic_tails(table(spark, folder, "documents")))
+    better = lambda a, b: F.when(a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"]), b).otherwise(a)
+    best = F.aggregate("runs", F.lit(None).cast(runs.RUN), better)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), sha(listed).alias("runs_sha256"),
+                       sha(F.col("collapsed")).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "b.start", "b.length", "b.period",
+                      F.floor(F.expr("1000 * b.length div b.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query()
+def op11_semi_markov_pii(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"),
+                        pii.listed(F.col("spans")).alias("spans"))
