@@ -36,11 +36,12 @@ from cohortloom.session import materialise
 TREES, DEPTH = 32, 8
 REACH = 12                # neighbours on each side in sorted order
 CROWD, CROWD_DEPTH = 48, 5  # where more classes than this share so long a prefix, the reach is
-CROWD_REACH = 3             # this, and the rest is left to the other trees and to
-LEADERS = 4                 # the classes nearest to the majority of a crowded region
+CROWD_REACH = 2             # this, and the rest is left to the other trees, to
+LEADERS = 2                 # the classes nearest to the majority of a crowded region, and to crowd_links
 CROWDED_DEPTHS = (3, 5, 8)
 RANGE_ROWS = 200_000      # sorted rows per task
 BROADCAST_ROWS = 500_000  # of 20 bytes each
+ROUNDS = 2                # of one pair per class, before all pairs that still lie between components are confirmed
 BLOCK, BLOCK_BYTES = 512, 4 << 20  # classes and bytes of text on each side of a comparison of crowded classes
 
 _rng = np.random.default_rng(77_003)
@@ -292,6 +293,33 @@ def class_texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     return found.join(wanted, ["text_hash", "text_bytes"]).groupBy("node").agg(F.first("text").alias("text"))
 
 
+def linked_in_rounds(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, root) of the components that the confirmed ones among ``pairs`` make.
+
+    A pair whose ends are in one component already decides nothing, so pairs are confirmed in rounds: first one per class,
+    the one whose other end is in most pairs, as those lie in the middle of a group of near copies; then components
+    are folded and pairs inside them dropped before they meet a text. A group of n near copies so costs about n
+    comparisons, not as many as it has pairs. What is left after ``ROUNDS`` is confirmed in full.
+    """
+    left, roots = pairs, None
+    for _ in range(ROUNDS):
+        degree = left.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+        met = left.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(
+            degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
+        pick = lambda own, other, d: F.struct(F.col(own).alias("node"), F.struct(
+            F.col(d).alias("d"), F.col(other).alias("other"), "a", "b").alias("to"))
+        picks = met.select(F.explode(F.array(pick("a", "b", "db"), pick("b", "a", "da"))).alias("x"))
+        taken = materialise(picks.groupBy("x.node").agg(F.max("x.to").alias("to")).select("to.a", "to.b").distinct(), "taken")
+        fresh = confirmed(taken, texts, k, percent)
+        roots = components(fresh if roots is None else roots.toDF("a", "b").union(fresh))
+        root = lambda end: F.coalesce(f"r{end}", end)
+        left = materialise(left.join(taken, ["a", "b"], "left_anti").join(roots.toDF("a", "ra"), "a", "left").join(
+            roots.toDF("b", "rb"), "b", "left").where(root("a") != root("b")).select("a", "b"), "left")
+        if left.isEmpty():
+            return roots
+    return components(roots.toDF("a", "b").union(confirmed(left, texts, k, percent)))
+
+
 def block_pairs(x: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Which members of a cell are to be compared: those of its two blocks, or of its only one, in different components."""
     apart = root[:, None] != root[None, :]
@@ -409,7 +437,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = materialise(classes.select("node", "text_hash", "text_bytes").join(near, "node"), "wanted")
     texts = materialise(class_texts(docs, wanted, text), "texts")
-    roots = components(confirmed(pairs, texts, k, percent))
+    roots = linked_in_rounds(pairs, texts, k, percent)
     crowd = met.where("run is not null").select(F.col("a").alias("node"), "run")
     more = crowd_links(crowd, classes, roots, docs, text, k, percent)
     if more is not None and not more.isEmpty():
@@ -425,19 +453,21 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with their own columns, of which one per component stays: the one with the smallest id.
+    """The documents, with their own columns whatever they are called, of which one per component stays.
 
-    Rows are judged one by one, by numbers that are written with them: rows that share an id and have unrelated texts
-    both stay, and of equal ids in a component the row with the smallest number stays. Documents with a NULL id do not
-    stand for those with one, nor the other way: of those in a component one stays as well.
+    That is the one with the smallest id; one without an id stays only where none in its component has one. Rows are
+    judged one by one, by numbers that are written with them: rows that share an id and have unrelated texts both stay,
+    and of equal ids in a component the row with the smallest number stays.
     """
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    judged = near_components(rows, k, percent, "__row", text).select(F.col("doc_id").alias("__row"), "component_id")
+    rows = materialise(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"),
+                                   F.monotonically_increasing_id().alias("row")), "rows")
+    bodies = rows.select("row", F.col("doc")[text].alias("text"))
+    judged = near_components(bodies, k, percent, "row", "text").select(F.col("doc_id").alias("row"), "component_id")
     groups = judged.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
     shared = materialise(judged.join(groups, "component_id").join(
-        rows.select("__row", rows[doc_id].alias("__id")), "__row"), "shared").withColumn("__none", F.col("__id").isNull())
-    kept = shared.groupBy("component_id", "__none").agg(F.min(F.struct("__id", "__row")).alias("of")).select("of.__row")
-    gone = materialise(shared.select("__row").join(kept, "__row", "left_anti"), "gone")
+        rows.select("row", F.col("doc")[doc_id].alias("id")), "row"), "shared")
+    kept = shared.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("of"))
+    gone = materialise(shared.select("row").join(kept.select("of.row"), "row", "left_anti"), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return rows.join(gone, "__row", "left_anti").drop("__row")
+    return rows.join(gone, "row", "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ All work is on numpy arrays over the UTF-8 bytes of a bounded slice of rows; a t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ NON_BLANK[[9, 10, 11, 12, 13, 32]] = False
 LETTERS_DIGITS = np.zeros(256, bool)
 LETTERS_DIGITS[48:58] = LETTERS_DIGITS[65:91] = LETTERS_DIGITS[97:123] = LETTERS_DIGITS[128:] = True
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+
 _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -34,6 +37,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:
@@ -47,7 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(int(np.searchsorted(ends, before + limit, "right")), start + 1)
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back to the system
+        give_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

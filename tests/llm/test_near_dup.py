@@ -76,10 +76,20 @@ def test_odd_rows(spark):
                    (8, 8, True), (9, 9, True), (None, 4, False)}
     out = nd.deduplicate(df, 4)
     assert out.columns == df.columns
-    assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(["1", "2", "3", "4", "6", "7", "8", "9", "None"])
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3, 4, 6, 7, 8, 9]  # the copy without id goes as well
     assert nd.near_components(df.limit(0), 4).count() == 0
 
 
+def test_copies_without_id_and_clashing_names(spark):
+    rows = [(None, "one two three", 1, 1), (None, "ONE two three", 2, 2), (7, "other text", 3, 3), (7, "unlike it", 4, 4),
+            (9, "four five", 5, 5), (None, "four five", 6, 6), (8, "four five", 7, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, __row int")
+    out = nd.deduplicate(df, 4)
+    assert out.columns == df.columns
+    got = sorted((str(r["doc_id"]), r["text"].lower()) for r in out.collect())
+    assert got == [("7", "other text"), ("7", "unlike it"), ("8", "four five"), ("None", "one two three")]
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 300)] + [(1000, j) for j in range(1001, 1400)] + [(5000, 5001)]
     df = spark.createDataFrame(links, "a long, b long")
@@ -173,10 +183,11 @@ def test_crowds_are_compared_in_full(spark):
 
 
 def test_rows_are_judged_one_by_one(spark):
-    """Unrelated texts of one id stay; a copy goes whichever id it shares; of copies without id one stays."""
-    a, b, c, d = (" ".join(vocabulary(30, random.Random(i))) for i in range(4))
+    """Unrelated texts of one id stay; a copy goes whichever id it shares; of copies without id one stays, or none
+    where a near copy has an id."""
+    a, b, c, d, e = (" ".join(vocabulary(30, random.Random(i))) for i in range(5))
     rows = [(1, a, "stays"), (5, b, "stays"), (5, c, "stays"),
-            (7, a, "copy"), (7, d, "stays"), *[(None, "no id " + a, "null")] * 3]
+            (7, a, "copy"), (7, d, "stays"), (None, "no id " + a, "copy"), *[(None, e, "null")] * 3]
     out = nd.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, note string"), 4)
     assert out.columns == ["doc_id", "text", "note"]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [*(r for r in rows if r[2] == "stays"), rows[-1]]))
