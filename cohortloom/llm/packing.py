@@ -31,7 +31,7 @@ from cohortloom.llm import vocab, words
 WINDOW = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 18
-SLICE_BYTES = 6 << 20  # text tokenized at a time; what repeats in it is tokenized once
+SLICE_BYTES = 2 << 20  # text tokenized at a time; what repeats in it is tokenized once
 SENTENCE_CUT = 8      # penalty, in tokens of padding, for going on with a document in the next window
 CLAUSE_CUT = 16       # the same where only a clause ends
 INNER_CUT = 128       # the same for a cut inside a clause
@@ -148,6 +148,17 @@ class _Stream:
         return out
 
 
+def break_marks(tokenizer: str) -> np.ndarray:
+    """CLAUSE or SENTENCE for every id of a vocabulary file whose token ends one; read once, on the driver."""
+    entries = vocab.entries(tokenizer)
+    marks = np.zeros(max(entries.values()) + 1, np.int8)
+    for token, i in entries.items():
+        signs = token.removesuffix("</w>")
+        if not any(c.isalnum() for c in signs):
+            marks[i] = SENTENCE if set(signs) & set(".!?") else CLAUSE if set(signs) & set(",;:") else INSIDE
+    return marks
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, doc_id: str = "doc_id",
          text: str = "text", with_ids: bool = False, cached_pieces: int = vocab.CACHED_PIECES) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
@@ -155,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     ``sequence_id`` holds the partition above its 40 low bits, so ids need no pass over all data.
     ``cached_pieces`` bounds what a worker remembers of tokenized pieces; the result does not depend on it.
     """
-    shared = vocab.share(docs.sparkSession, tokenizer)
+    shared, marks = vocab.share(docs.sparkSession, tokenizer), break_marks(tokenizer)
     long = T.LongType()
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *[
         T.StructField(c, long) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
@@ -164,10 +175,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = vocab.encoder(shared, cached_pieces)
-        marks = np.zeros(int(max(enc.tokenizer.get_vocab().values())) + 1, np.int8)
-        for kind, signs in ((CLAUSE, ",;:"), (SENTENCE, ".!?")):
-            marks[vocab.ids_where(enc.tokenizer, lambda t, signs=signs: set(t.removesuffix("</w>")) & set(signs)
-                                  and not any(c.isalnum() for c in t.removesuffix("</w>")))] = kind
         stream = _Stream(window, TaskContext.get().partitionId() << 40, with_ids)
 
         def table(out):

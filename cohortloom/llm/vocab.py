@@ -113,6 +113,8 @@ def encoder(shared: Broadcast, cached: int = CACHED_PIECES) -> Encoder:
     return _loaded[key]
 
 
-def ids_where(tokenizer, test) -> np.ndarray:
-    """Ids of the vocabulary entries whose text passes a test."""
-    return np.array(sorted(i for s, i in tokenizer.get_vocab().items() if test(s)), np.uint32)
+def entries(path: str) -> dict[str, int]:
+    """Token texts and ids of a vocabulary file."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab()
