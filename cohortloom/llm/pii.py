@@ -294,14 +294,15 @@ def train(regions: list[tuple[str, int, int]], gold: list[list[tuple[int, int, i
     from_end = lengths[region] - local_begin
     backward_at = [(first_edge + lengths - p)[lengths >= p] for p in range(1, longest + 1)]
     by_begin = [np.flatnonzero(from_end == p) for p in range(1, longest + 1)]
+    kinds, which = np.unique(features, axis=0, return_inverse=True)  # many candidates look alike
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     truth = np.zeros_like(weights)
     some = np.flatnonzero(gold_kind >= 0)
     for t in range(features.shape[1]):
         np.add.at(truth, (features[some, t], gold_kind[some]), 1.0)
     for step in range(1, steps + 1):
-        by_kind = scores(features, weights)
-        score = np.logaddexp.reduce(by_kind, axis=1)
+        of_kind = scores(kinds, weights)
+        score = np.logaddexp.reduce(of_kind, axis=1)[which]
         alpha = np.zeros(int(edges[-1]) + len(lengths))
         for at, cands in zip(steps_at, by_end, strict=True):
             alpha[at] = alpha[at - 1]
@@ -311,11 +312,11 @@ def train(regions: list[tuple[str, int, int]], gold: list[list[tuple[int, int, i
             beta[at] = beta[at + 1]
             np.logaddexp.at(beta, b[cands], beta[e[cands]] + score[cands])
         z = beta[first_edge][region]
-        part = np.exp(alpha[b] + beta[e] - z)[:, None] * np.exp(by_kind)
+        part = np.bincount(which, weights=np.exp(alpha[b] + beta[e] - z), minlength=len(kinds))[:, None] * np.exp(of_kind)
         expected = np.zeros_like(weights)
         for t in range(features.shape[1]):
             for k in range(len(KINDS)):
-                expected[:, k] += np.bincount(features[:, t], weights=part[:, k], minlength=N_FEATURES)
+                expected[:, k] += np.bincount(kinds[:, t], weights=part[:, k], minlength=N_FEATURES)
         gradient = (truth - expected) / len(lengths) - DECAY * weights
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient ** 2
