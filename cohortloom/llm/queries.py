@@ -16,7 +16,7 @@ from cohortloom.session import configure, materialise
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 128 << 10  # small, so that small tables are split as well
 
 
 def query(sql: str | None = None):

@@ -72,36 +72,49 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", text:
 
     ``page`` is 0 but for rows that share a bucket without bits left; ``shard_bytes`` and ``n_docs`` count all pages.
     """
-    rows = materialise(docs.select(docs[key].alias("key"), key_hash(docs[key]).alias("hash"),
+    rows = materialise(docs.select(docs[key].alias("key"), key_hash(docs[key]).alias("hash"), F.lit(0).cast("long").alias("row"),
                                    F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("bytes")), "rows")
+    columns = [F.col("key").alias(key), "shard", "depth", "page", F.col("bytes").alias("n_bytes"), "shard_bytes", "n_docs"]
+    return placed(rows, limit).select(*columns)
+
+
+def placed(rows: DataFrame, limit: int) -> DataFrame:
+    """Written rows (key, hash, row, bytes) with shard, depth, page, shard_bytes and n_docs."""
     shards = materialise(directory(rows, limit), "shards")
     depths = [r["depth"] for r in shards.select("depth").distinct().collect()]  # at most 61 numbers
     # Each row meets the one bucket that holds it: its hash is cut at every depth in use.
     at = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), prefix(F.col("hash"), d).alias("p")) for d in sorted(depths)] or [
         F.struct(F.lit(0).alias("d"), F.lit("").alias("p"))])).alias("x")
     full = shards.where((F.col("depth") == BITS) & (F.col("shard_bytes") > limit)).select("shard")
-    placed = materialise(
-        rows.select("key", "hash", "bytes", at).select("key", "hash", "bytes", F.col("x.p").alias("shard"), F.col("x.d").alias("depth"))
+    found = materialise(
+        rows.select("key", "row", "bytes", at).select("key", "row", "bytes", F.col("x.p").alias("shard"), F.col("x.d").alias("depth"))
         .join(shards, ["shard", "depth"]), "placed")
-    columns = [F.col("key").alias(key), "shard", "depth", "page", F.col("bytes").alias("n_bytes"), "shard_bytes", "n_docs"]
+    first = found.withColumn("page", F.lit(0).cast("long"))
     if full.isEmpty():
-        return placed.withColumn("page", F.lit(0).cast("long")).select(*columns)
-    over = placed.join(full, "shard", "left_semi")
-    paged = pages(over, limit)
-    return placed.join(full, "shard", "left_anti").withColumn("page", F.lit(0).cast("long")).select(*columns).unionByName(
-        paged.select(*columns))
+        return first
+    paged = pages(found.join(full, "shard", "left_semi"), limit)
+    return first.join(full, "shard", "left_anti").unionByName(paged.select(*first.columns))
 
 
 def pages(over: DataFrame, limit: int) -> DataFrame:
     """Deal the rows of one-key buckets to pages by equal numbers of rows, few enough for the largest row."""
     largest = over.groupBy("shard").agg(F.max("bytes").alias("largest"))
-    numbered = row_index(over, ["bytes", "key"], partition_by=["shard"], out="place")
+    numbered = row_index(over, ["bytes", "key", "row"], partition_by=["shard"], out="place")
     per_page = F.greatest(F.floor(F.lit(limit) / F.greatest("largest", F.lit(1))), F.lit(1))
     return numbered.join(largest, "shard").withColumn("page", F.floor((F.col("place") - 1) / per_page))
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write the documents as one folder per shard and page. Keys have to be unique."""
-    placed = docs.join(assigned.select(key, "shard", "page"), key)
-    placed.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, key: str = "doc_id", text: str = "text") -> None:
+    """Write the documents as one folder per shard and page, each row exactly once, whatever its key is.
 
+    Rows are numbered as they are written to the shared folder, and meet their shard by that number: repeated and NULL
+    keys are neither lost nor multiplied. Columns called like the folders are an error.
+    """
+    if clash := {"shard", "page"} & set(docs.columns):
+        raise ValueError(f"columns named like the folders: {sorted(clash)}")
+    rows = materialise(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"),
+                                   F.monotonically_increasing_id().alias("row")), "documents")
+    of_key, size = F.col("doc")[key], F.coalesce(F.octet_length(F.col("doc")[text]), F.lit(0)).cast("long")
+    sized = materialise(rows.select(of_key.alias("key"), key_hash(of_key).alias("hash"), "row", size.alias("bytes")), "rows")
+    found = rows.join(placed(sized, limit).select("row", "shard", "page"), "row")
+    found.repartition("shard", "page").select("doc.*", "shard", "page").write.partitionBy("shard", "page").parquet(path)

@@ -56,6 +56,18 @@ def test_one_key_with_most_rows(spark):
 
 def test_written_shards_hold_all_documents(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    sharding.write_shards(docs, sharding.assign(docs, 50_000), str(tmp_path / "out"))
+    sharding.write_shards(docs, str(tmp_path / "out"), 50_000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).count() == 0 and back.count() == docs.count()
+
+
+def test_repeated_and_missing_keys_are_written_once(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (None, "b"), (None, None), (1, "c"), (2, "d" * 50)] + [(5, f"{i}" * 9) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sharding.write_shards(docs, str(tmp_path / "out"), 60)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in back.collect()))) == sorted(map(str, rows))
+    sizes = back.groupBy("shard", "page").agg({"text": "count"}).count()
+    assert sizes > 10
+    with pytest.raises(ValueError, match="page"):
+        sharding.write_shards(docs.withColumnRenamed("text", "page"), str(tmp_path / "no"))
