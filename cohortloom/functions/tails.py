@@ -83,6 +83,40 @@ def t_sf2(t, df) -> np.ndarray:
     return f_sf(np.square(np.asarray(t, float)), 1.0, df)
 
 
+def gamma_sf(a, x) -> np.ndarray:
+    """Regularised upper incomplete gamma function Q(a, x): the series below the mean, the continued fraction above it.
+    The number of steps goes with the root of a."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.maximum(np.asarray(x, float), 0.0))
+    out = np.ones(a.shape)
+    steps = int(60 + 12 * math.sqrt(float(a.max()))) if a.size else 0
+    low, high = (x > 0) & (x < a + 1), x >= a + 1
+    if low.any():
+        p, y = a[low], x[low]
+        term = total = 1 / p
+        for n in range(1, steps):
+            term = term * y / (p + n)
+            total = total + term
+        out[low] = 1 - np.exp(p * np.log(y) - y - _lgamma(p)) * total
+    if high.any():
+        p, y = a[high], x[high]
+        b = y + 1 - p
+        c, d = np.full(p.shape, 1e300), 1 / b
+        h = d
+        for n in range(1, steps):
+            an = n * (p - n)
+            b = b + 2
+            d = 1 / np.where(np.abs(b + an * d) < 1e-300, 1e-300, b + an * d)
+            c = np.where(np.abs(b + an / c) < 1e-300, 1e-300, b + an / c)
+            h = h * d * c
+        out[high] = np.exp(p * np.log(y) - y - _lgamma(p)) * h
+    return np.where(np.isnan(a) | np.isnan(x), np.nan, np.clip(out, 0.0, 1.0))
+
+
+def chi2_sf(x, df) -> np.ndarray:
+    """P(chi-squared > x), for any positive degrees of freedom."""
+    return gamma_sf(np.asarray(df, float) / 2, np.asarray(x, float) / 2)
+
+
 def normal_pdf(x) -> np.ndarray:
     return np.exp(-0.5 * np.square(x)) / math.sqrt(2 * math.pi)
 
@@ -152,20 +186,27 @@ def _range_cdf_normal(w: np.ndarray, k: int) -> np.ndarray:
     return np.clip(k * 8.0 * np.sum(weights * phi * spread ** (k - 1), axis=1), 0.0, 1.0)
 
 
+def _chi_constant(df: float) -> float:
+    """0.5 df log(df / 2) - lgamma(df / 2) - df / 2; by Stirling's series where the terms themselves are large."""
+    x = df / 2
+    if x < 100:
+        return x * math.log(x) - math.lgamma(x) - x
+    return 0.5 * math.log(x / (2 * math.pi)) - 1 / (12 * x) + 1 / (360 * x ** 3)
+
+
 def tukey_cdf(q, k: int, df: float) -> np.ndarray:
     """P(studentised range of k means on df degrees of freedom <= q)."""
     q = np.atleast_1d(np.asarray(q, float))
-    if df > 1e5:
-        return _range_cdf_normal(q, k)
     nodes, weights = _nodes(96)
     width = 10.0 / math.sqrt(2 * df)
     lo, hi = max(0.0, 1 - width), 1 + width
     if df < 4:
         hi = 12.0
-    s = 0.5 * (hi - lo) * nodes + 0.5 * (hi + lo)
-    logd = (math.log(2) + 0.5 * df * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - 0.5 * df * s * s)
+    u = 0.5 * (hi - lo) * nodes + 0.5 * (hi + lo) - 1
+    # Log density of s = 1 + u, arranged around s = 1 so that nothing large cancels, however many degrees of freedom.
+    logd = math.log(2) + _chi_constant(df) + df * (np.log1p(u) - u - 0.5 * u * u) - np.log1p(u)
     dens = 0.5 * (hi - lo) * weights * np.exp(logd)
-    inner = np.stack([_range_cdf_normal(q * si, k) for si in s])
+    inner = np.stack([_range_cdf_normal(q * (1 + ui), k) for ui in u])
     return np.clip(dens @ inner, 0.0, 1.0)
 
 
