@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import common_columns
+from cohortloom.operators.substrings import containing
 from cohortloom.session import materialise
 
 _RIGHT = "_right_"
@@ -99,38 +100,11 @@ def match_report(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> DataFr
     return both.select(*keys, status.alias("match_status"))
 
 
-def _class_width():
-    return F.pow(F.lit(2), F.col("_class")).cast("int")
-
-
 def match_substring(a: DataFrame, b: DataFrame, col: str, key: str, exact: bool = True) -> DataFrame:
-    """Rows of ``a`` whose text equals (``exact``) or contains some key of ``b``.
-
-    Containment is an equality join too: every distinct text is cut at each place to the lengths of a few
-    classes of keys, and the cuts meet the beginnings of keys by hash, so no pair of tables is crossed.
-    """
-    words = b.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct()
+    """Rows of ``a`` whose text equals (``exact``) or contains some key of ``b``."""
     if exact:
-        return keep_in(a, words, col, "_key")
-    # Keys are sorted into classes by the power of two below their length. A text is cut once per start and
-    # class, to that power's length; where the cut begins a key, the whole key is compared in place. A text of n
-    # characters so gives at most n cuts per class, however many key lengths there are.
-    sized = words.where("_key <> ''").withColumn("_class", F.floor(F.log2(F.length("_key"))).cast("int"))
-    keys = sized.withColumn("_cut", F.substring("_key", F.lit(1), _class_width()))
-    classes = [row["_class"] for row in keys.select("_class").distinct().collect()]  # at most 31
-    # Texts are numbered and written, so that their cuts carry a number and not the text.
-    texts = materialise(a.select(F.col(col).alias("_text")).where(F.col(col).isNotNull()).distinct()
-                        .withColumn("_id", F.monotonically_increasing_id()), "texts")
-    width = _class_width()
-    starts = texts.select("_id", "_text", F.explode(F.array(*[F.lit(c) for c in sorted(classes)]).cast("array<int>")).alias("_class")
-                          ).where(F.length("_text") >= width)
-    cuts = starts.select("_id", "_class", "_text", F.explode(F.sequence(F.lit(1), F.length("_text") - width + 1)).alias("_at")
-                         ).select("_id", "_class", F.substring(F.col("_text"), F.col("_at"), width).alias("_cut")).distinct()
-    begun = attach(cuts, keys, ["_class", "_cut"], "inner").select("_id", "_key").distinct()
-    found = attach(begun, texts, "_id", "inner").where(F.contains(F.col("_text"), F.col("_key"))).select("_id").distinct()
-    if not words.where("_key = ''").isEmpty():  # the empty key is in every text
-        return a.where(F.col(col).isNotNull())
-    return keep_in(a, attach(texts, found, "_id", "left_semi"), col, "_text")
+        return keep_in(a, b.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()), col, "_key")
+    return containing(a, col, b, key)
 
 
 def lookup_first(a: DataFrame, b: DataFrame, key: str, position: str, out: str = "first_position") -> DataFrame:
@@ -186,22 +160,31 @@ def zip_join(a: DataFrame, b: DataFrame, key: str, order_a: Sequence[str], order
     return attach(left, right, [key, place], "inner")
 
 
-def region_join(sites: DataFrame, regions: DataFrame, bin_width: int, how: str = "inner") -> DataFrame:
-    """Every (site, region) with ``start <= pos <= end`` on the same chrom.
+def region_join(sites: DataFrame, regions: DataFrame, how: str = "inner") -> DataFrame:
+    """Every (site, region) with ``start <= pos <= end`` on the same chrom; ``how``: inner, or left to keep all sites.
 
-    Regions are listed once per bin they touch and meet sites by (chrom, bin), so the range
-    test is only a filter on an equality join. Size estimates do not see how far the listing
-    grows, so its size, counted in bytes of the regions as text, decides between a broadcast and a shuffle.
+    A region's class is the power of two from its width up, and it lies in at most two cells of that width, however wide
+    it is: so a region is two rows at most, and a site looks up its one cell of every class that is in use (63 at most).
+    Both meet by (chrom, class, cell), and the range test is a filter that passes one candidate in four or more where
+    sites are evenly spread. The listed regions' size in bytes decides between a broadcast and a shuffle.
     """
-    if bin_width < 1:
-        raise ValueError("bin_width must be positive")
-    span = F.floor(F.col("end") / bin_width) - F.floor(F.col("start") / bin_width) + 1
-    width = F.octet_length(F.to_json(F.struct("*"))) + 16
-    listed = regions.select(span.alias("_n"), width.alias("_w")).agg(F.sum(F.col("_n") * F.col("_w")).alias("b")).first()["b"] or 0
-    binned = regions.withColumn("_bin", F.explode(F.sequence(
-        F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width)))).withColumnRenamed("chrom", "_chrom")
-    binned = F.broadcast(binned) if listed <= MAX_BROADCAST_BYTES else binned.hint("shuffle_merge")
-    left = sites.withColumn("_site_bin", F.floor(F.col("pos") / bin_width))
-    cond = ((F.col("chrom") == F.col("_chrom")) & (F.col("_site_bin") == F.col("_bin"))
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
+    place = lambda c: F.floor(c).cast("long")
+    span = place("end") - place("start") + 1
+    sized = regions.where("start <= end").withColumnRenamed("chrom", "_chrom").withColumn(
+        "_class", F.when(span > 1, F.length(F.bin(span - 1))).otherwise(0))
+    cells = sized.withColumn("_cell", F.explode(F.expr(
+        "sequence(shiftright(cast(floor(start) as bigint), _class), shiftright(cast(floor(end) as bigint), _class))")))
+    width = F.octet_length(F.to_json(F.struct(*regions.columns))) + 32
+    facts = regions.select(width.alias("w")).agg(F.sum("w").alias("w")).first()
+    classes = [row[0] for row in sized.select("_class").distinct().orderBy("_class").collect()]
+    cells = F.broadcast(cells) if 2 * (facts["w"] or 0) <= MAX_BROADCAST_BYTES else cells.hint("shuffle_merge")
+    # For a left join every different position meets the regions once, and sites without any come back by position.
+    left = sites if how == "inner" else sites.select("chrom", "pos").distinct()
+    seen = left.withColumn("_site_class", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>"))).withColumn(
+        "_site_cell", F.expr("shiftright(cast(floor(pos) as bigint), _site_class)"))
+    cond = ((F.col("chrom") == F.col("_chrom")) & (F.col("_site_class") == F.col("_class")) & (F.col("_site_cell") == F.col("_cell"))
             & F.col("pos").between(F.col("start"), F.col("end")))
-    return left.join(binned, cond, how).drop("_chrom", "_bin", "_site_bin")
+    met = seen.join(cells, cond).drop("_chrom", "_class", "_cell", "_site_class", "_site_cell")
+    return met if how == "inner" else attach(sites, met, ["chrom", "pos"])

@@ -10,15 +10,15 @@ from cohortloom.functions.strings import strip_suffix
 from cohortloom.operators.joins import attach, region_join
 
 
-def site_regions(annotation: DataFrame, regions: DataFrame, bin_width: int) -> DataFrame:
+def site_regions(annotation: DataFrame, regions: DataFrame) -> DataFrame:
     """(feature_id, region_id) for every site inside a region; a site may be in several."""
-    return region_join(annotation.select("feature_id", "chrom", "pos"), regions, bin_width).select("feature_id", "region_id")
+    return region_join(annotation.select("feature_id", "chrom", "pos"), regions).select("feature_id", "region_id")
 
 
-def region_mean(long: DataFrame, annotation: DataFrame, regions: DataFrame, bin_width: int, value: str = "value",
+def region_mean(long: DataFrame, annotation: DataFrame, regions: DataFrame, value: str = "value",
                 sample: str = "sample_id") -> DataFrame:
     """Mean value of a region's sites per sample. Sites meet regions once, before cells are joined."""
-    cells = attach(long, site_regions(annotation, regions, bin_width), "feature_id", "inner", nulls="never")
+    cells = attach(long, site_regions(annotation, regions), "feature_id", "inner", nulls="never")
     return cells.groupBy("region_id", sample).agg(F.avg(value).alias(value), F.count(value).alias("n_sites"))
 
 

@@ -32,14 +32,14 @@ def filtered_sites(long: DataFrame, annotation: DataFrame, p_cut: float = 0.05,
     return filters.filter_low_sd(filters.filter_na(materialise(reliable, "reliable")), min_sd)
 
 
-def region_values(sites: DataFrame, annotation: DataFrame, region_table: DataFrame, pheno: DataFrame, bin_width: int,
+def region_values(sites: DataFrame, annotation: DataFrame, region_table: DataFrame, pheno: DataFrame,
                   batch: str = "Batch", keep_effects: Sequence[str] = ("Diagnosis", "Sex", "AGE"),
                   map_designs: bool = True) -> DataFrame:
     """Design-mapped sites averaged to regions, batch-corrected with the named effects kept."""
     mapped = sites
     if map_designs:
         mapped = bmiq.bmiq(joins.attach(sites, annotation.select("feature_id", "design"), "feature_id"))
-    means = regions.region_mean(mapped.select("feature_id", "sample_id", "value"), annotation, region_table, bin_width)
+    means = regions.region_mean(mapped.select("feature_id", "sample_id", "value"), annotation, region_table)
     long = materialise(means.select(F.col("region_id").alias("feature_id"), "sample_id", "value"), "regions")
     cells = core.with_pheno(long, pheno.select("sample_id", batch, *keep_effects))
     return combat.combat(cells, batch, keep_effects)
