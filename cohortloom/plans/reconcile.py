@@ -16,6 +16,8 @@ from cohortloom.functions.columns import common_columns
 from cohortloom.functions.strings import clean_id
 from cohortloom.operators import dedup, joins, summaries
 from cohortloom.operators.ordering import row_index
+from cohortloom.operators.stats.anova import anova_oneway
+from cohortloom.operators.stats.tukey import tukey_hsd
 from cohortloom.session import materialise
 
 # Ages outside these limits are entry errors.
@@ -85,6 +87,18 @@ def assign_ages(samples: DataFrame, draws: DataFrame, key: str = "PIDN", age: st
     return rest.unionByName(joins.attach(placed, values, [key, "_k"]).drop("_k"))
 
 
+def override_ages(records: DataFrame, ages: DataFrame, key: str = "Slide", age: str = "AgeAtDraw") -> DataFrame:
+    """Give samples whose ages could not be matched the age that was looked up by hand, and the status ``override``.
+
+    ``ages``: (key, age), one row per sample; rows of other samples and without an age change nothing.
+    """
+    given = ages.select(key, F.col(age).alias("_given")).where(F.col("_given").isNotNull()).groupBy(key).agg(F.max("_given").alias("_given"))
+    open_row = (F.col("age_status") == "unmatched") & F.col("_given").isNotNull()
+    return joins.attach(records, given, key).withColumns({
+        age: F.when(open_row, F.col("_given")).otherwise(F.col(age)),
+        "age_status": F.when(open_row, "override").otherwise(F.col("age_status"))}).drop("_given")
+
+
 def assign_diagnosis(samples: DataFrame, diagnosis: DataFrame, overrides: DataFrame, key: str = "PIDN",
                      label: str = "Diagnosis", otherwise: str = "Unknown") -> DataFrame:
     """The person's diagnosis where one row gives it, the override where several do, else ``otherwise``."""
@@ -113,12 +127,41 @@ def sample_records(samples: DataFrame, draws: DataFrame, diagnosis: DataFrame, o
     return _label(_label(aged, "Diagnosis", "_diagnosed", "Unknown"), "Gender", "_registered", "UNKNOWN")
 
 
-def diagnosis_report(records: DataFrame, levels: Sequence[str], key: str = "PIDN", keep_empty: bool = False) -> DataFrame:
-    """Per diagnosis: people per sex, total, mean of each person's greatest age (missing if any age
-    is), and people of unknown age."""
+def people_of(records: DataFrame, key: str = "PIDN") -> DataFrame:
+    """One row per person: Diagnosis and Gender of the first sample by batch and slide, and the greatest age (missing
+    if any of the person's ages is)."""
     people = records.groupBy(key).agg(
         F.min(F.struct(F.col("Batch").isNull().alias("_nb"), "Batch", F.col("Slide").isNull().alias("_ns"), "Slide", "Diagnosis", "Gender"))
         .alias("_first"),
         summaries.strict(F.max, F.col("AgeAtDraw")).alias("age"))
-    flat = people.select(key, "_first.Diagnosis", "_first.Gender", "age")
-    return summaries.group_summary(flat, "Diagnosis", "Gender", "age", levels, keep_empty)
+    return people.select(key, "_first.Diagnosis", "_first.Gender", "age")
+
+
+def diagnosis_report(records: DataFrame, levels: Sequence[str], key: str = "PIDN", keep_empty: bool = False) -> DataFrame:
+    """Per diagnosis: people per sex, total, mean of each person's greatest age (missing if any age
+    is), and people of unknown age."""
+    return summaries.group_summary(people_of(records, key), "Diagnosis", "Gender", "age", levels, keep_empty)
+
+
+def positive_report(records: DataFrame, mutations: DataFrame, levels: Sequence[str], key: str = "PIDN",
+                    mutation: str = "Mutation", positive: str = "Positive") -> DataFrame:
+    """``diagnosis_report`` of the people with a positive sequencing result."""
+    carriers = mutations.where(F.col(mutation) == positive).select(key)
+    return diagnosis_report(joins.keep_in(records, carriers, key), levels, key)
+
+
+def diagnosis_models(records: DataFrame, include: str, response: str = "age", key: str = "PIDN") -> tuple[DataFrame, DataFrame]:
+    """(analysis of variance, all-pairs comparison) of a person's age or coded sex by diagnosis.
+
+    Only diagnoses that match the pattern ``include`` and people of known age count; labels are compared without
+    ``/ `` and in upper case, so spellings of one diagnosis fall together. Sex is coded by its level's place.
+    """
+    people = people_of(records, key)
+    known = people.where(predicates.matches(F.col("Diagnosis"), include) & F.col("age").isNotNull())
+    tidy = known.withColumn("Diagnosis", F.upper(F.regexp_replace("Diagnosis", "/ ", "")))
+    if response != "age":
+        levels = [row[0] for row in tidy.select(response).distinct().dropna().orderBy(response).collect()]
+        place = F.element_at(F.create_map(*[x for i, v in enumerate(levels) for x in (F.lit(v), F.lit(i + 1.0))]), F.col(response)) if levels else F.lit(None)
+        tidy = tidy.withColumn(response, place.cast("double"))
+    tidy = materialise(tidy, "people")
+    return anova_oneway(tidy, response, "Diagnosis"), tukey_hsd(tidy, response, "Diagnosis")

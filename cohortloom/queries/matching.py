@@ -121,14 +121,14 @@ def cohort_status(t: Tables):
 
 
 @query("""
-WITH p AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'P'),
-     c AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING')
+WITH p AS (SELECT DISTINCT o_custkey AS id FROM orders),
+     c AS (SELECT DISTINCT doc_id AS id FROM documents)
 SELECT coalesce(p.id, c.id) AS id, CASE WHEN c.id IS NULL THEN 'left_only' WHEN p.id IS NULL THEN 'right_only' ELSE 'both' END AS match_status
 FROM p FULL JOIN c ON p.id = c.id
 """)
 def match_report(t: Tables):
-    a = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"))
-    b = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
+    a = t.orders.select(F.col("o_custkey").alias("id"))
+    b = t.documents.select(F.col("doc_id").alias("id"))
     return joins.match_report(a, b, "id")
 
 
@@ -166,4 +166,4 @@ SELECT event_id AS site_id, region_id, value FROM events JOIN regions
   ON chrom = event_type AND event_id BETWEEN region_start AND region_end
 """)
 def region_join(t: Tables):
-    return joins.region_join(sites(t), regions(t), 250).select("site_id", "region_id", "value")
+    return joins.region_join(sites(t), regions(t)).select("site_id", "region_id", "value")

@@ -9,6 +9,8 @@ from cohortloom.operators.matrix import combat as cb
 from cohortloom.operators.matrix import core, covariates, differential, filters, normalise
 from cohortloom.operators.matrix import reduce as red
 from cohortloom.operators.matrix import regions as rg
+from cohortloom.operators.matrix import tree
+from cohortloom.operators.ordering import rank_of
 from cohortloom.session import materialise
 from cohortloom.queries.registry import (EMBEDDING_SQL, PROBE_SQL, REGION_SQL, Tables, embedding_matrix, probe_matrix,
                                          query, r, regions, sites)
@@ -246,7 +248,7 @@ FROM events JOIN regions ON chrom = event_type AND event_id BETWEEN region_start
 """)
 def region_mean(t: Tables):
     s = sites(t).withColumnRenamed("site_id", "feature_id")
-    out = rg.region_mean(s.select("feature_id", "sample_id", "value"), s.select("feature_id", "chrom", "pos"), regions(t), 250)
+    out = rg.region_mean(s.select("feature_id", "sample_id", "value"), s.select("feature_id", "chrom", "pos"), regions(t))
     return out.select("region_id", "sample_id", r("value").alias("value"), "n_sites")
 
 
@@ -266,6 +268,18 @@ def pca_sizes(t: Tables):
     return scores.select("sample_id", r(size).alias("size"))
 
 
+@query(f"""
+WITH {EMBEDDING_SQL}, o AS (SELECT feature_id, value FROM matrix WHERE sample_id = (SELECT min(sample_id) FROM matrix))
+SELECT sample_id, round(sqrt(sum((m.value - o.value) ** 2)), 6) AS distance FROM matrix m JOIN o USING (feature_id) GROUP BY 1
+""")
+def mds(t: Tables):
+    """Scaling to all dimensions keeps distances, here those to the first sample."""
+    scaled = red.mds(embedding_matrix(t), 64)
+    first = scaled.orderBy("sample_id").first()
+    away = sum(((F.col(c) - F.lit(first[c])) ** 2 for c in scaled.columns[2:]), (F.col("dim1") - F.lit(first["dim1"])) ** 2)
+    return scaled.select("sample_id", r(F.sqrt(away)).alias("distance"))
+
+
 @query(f"WITH {EMBEDDING_SQL} SELECT feature_id, sample_id, value FROM matrix")
 def stored_matrix(t: Tables):
     return materialise(embedding_matrix(t).select("feature_id", "sample_id", "value"), "matrix")
@@ -282,6 +296,24 @@ def cluster_samples(t: Tables):
     return red.cluster_samples(embedding_matrix(t), 5)
 
 
+@query()
+def sample_tree(t: Tables):
+    return tree.sample_tree(embedding_matrix(t))
+
+
+@query(f"""
+WITH {EMBEDDING_SQL}
+SELECT a.sample_id, round(sqrt(min(d)), 6) AS nearest FROM (
+  SELECT x.vec_id AS sample_id, list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS d
+  FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id) a GROUP BY 1
+""")
+def tree_nearest(t: Tables):
+    """The lowest merge of every sample joins it with its nearest one."""
+    merges = tree.sample_tree(embedding_matrix(t))
+    ends = merges.select(F.explode(F.array("sample_a", "sample_b")).alias("sample_id"), "height")
+    return ends.groupBy("sample_id").agg(r(F.min("height")).alias("nearest"))
+
+
 @query()
 def diff_features(t: Tables):
     return differential.diff_features(embedding_matrix(t), "batch", "0", "1", ["age"])
@@ -298,6 +330,39 @@ def diff_group_means(t: Tables):
     return red.group_means(m, F.col("batch") == "0").select("feature_id", *[r(c).alias(c) for c in ("mean_g1", "mean_g2", "mean_diff")])
 
 
+def _site_groups(t: Tables):
+    """Parts as sites on a few chromosomes, line numbers as samples of two groups, and regions of 100 positions that
+    overlap by 40."""
+    long = probe_matrix(t).select("feature_id", "sample_id", "value", F.when(F.col("sample_id") <= 3, "a").otherwise("b").alias("grp"),
+                                  (F.col("sample_id") % 2).cast("double").alias("age"))
+    notes = t.part.select(F.col("p_partkey").alias("feature_id"), F.concat(F.lit("c"), F.col("p_size") % 3).alias("chrom"),
+                          F.col("p_partkey").alias("pos"))
+    windows = notes.select("chrom", F.floor(F.col("pos") / 60).alias("k")).distinct().select(
+        "chrom", F.concat_ws(":", "chrom", "k").alias("region_id"), (F.col("k") * 60).alias("start"), (F.col("k") * 60 + 99).alias("end"))
+    return long, rg.site_regions(notes, windows)
+
+
+@query(f"""
+WITH {PROBE_SQL}, w AS (SELECT DISTINCT 'c' || (p_size % 3) AS chrom, p_partkey // 60 AS k FROM part),
+m AS (SELECT p_partkey AS feature_id, w.chrom || ':' || k AS region_id FROM part JOIN w ON w.chrom = 'c' || (p_size % 3) AND p_partkey BETWEEN 60 * k AND 60 * k + 99),
+f AS (SELECT feature_id, avg(value) FILTER (sample_id <= 3) AS g1, avg(value) FILTER (sample_id > 3) AS g2 FROM probes GROUP BY 1)
+SELECT region_id, count(*) AS n_sites, round(avg(g1), 4) AS mean_g1, round(avg(g2), 4) AS mean_g2, round(avg(g1 - g2), 4) AS mean_diff,
+  round(avg(log2((g1 + 0.01) / (g2 + 0.01))), 6) AS quot_log2, rank() OVER (ORDER BY round(abs(avg(g1 - g2)), 4) DESC) AS diff_rank
+FROM m JOIN f USING (feature_id) GROUP BY 1
+""")
+def diff_region_means(t: Tables):
+    long, membership = _site_groups(t)
+    means = differential.region_means(red.group_means(long, F.col("grp") == "a"), membership)
+    rounded = means.select("region_id", "n_sites", *[r(c, 4).alias(c) for c in ("mean_g1", "mean_g2", "mean_diff")], r("quot_log2").alias("quot_log2"))
+    return rank_of(rounded.withColumn("_d", F.abs("mean_diff")), "_d", "diff_rank", descending=True).drop("_d")
+
+
+@query()
+def diff_regions(t: Tables):
+    long, membership = _site_groups(t)
+    return differential.diff_regions(long, membership, "grp", "a", "b", ["age"])
+
+
 @query("""
 WITH a AS (SELECT p_partkey, CASE WHEN p_size > 40 THEN NULL WHEN p_size < 5 THEN p_brand || ';' || p_type ELSE p_type || '-' || p_size END AS symbol FROM part)
 SELECT p_partkey, regexp_replace(symbol, '-.*$', '') AS symbol FROM a WHERE symbol IS NOT NULL AND NOT contains(symbol, ';')

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import dedup, ranking
 from cohortloom.operators.matrix import core
-from cohortloom.queries.registry import EMBEDDING_SQL, REGION_SQL, Tables, embedding_matrix, query, r, regions, sample_sheet
+from cohortloom.queries.registry import REGION_SQL, Tables, query, r, regions, sample_sheet
 from cohortloom.session import scratch_path
 from cohortloom.sources.probes import long_to_wide, wide_to_long
 from cohortloom.sources.readers import read_glob, read_table
@@ -158,12 +158,14 @@ def intersect_keys(t: Tables):
     return dedup.intersect_keys(t.documents, t.labels, "doc_id")
 
 
-@query(f"""
-WITH {EMBEDDING_SQL}
-SELECT feature_id, sample_id, value FROM matrix WHERE feature_id % 2 = 0
+@query("""
+SELECT l_orderkey AS feature_id, l_linenumber AS sample_id, l_extendedprice AS value FROM lineitem
+WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')
 """)
 def matrix_combine(t: Tables):
-    m = embedding_matrix(t).select("feature_id", "sample_id", "value", "batch")
-    first = F.col("batch").isin("0", "1", "2")
-    a = m.where(first & (F.col("feature_id") % 2 == 0)).drop("batch")  # one matrix lacks features, so they are left out of both
-    return core.combine(a, m.where(~first).drop("batch"))
+    """All lines, open and closed ones as two matrices; orders without an open line are features that the first one lacks."""
+    def cells(condition):
+        return t.lineitem.where(condition).select(F.col("l_orderkey").alias("feature_id"), F.col("l_linenumber").alias("sample_id"),
+                                                  F.col("l_extendedprice").alias("value"))
+
+    return core.combine(cells("l_linestatus = 'O'"), cells("l_linestatus <> 'O'"))
