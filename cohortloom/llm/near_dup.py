@@ -12,6 +12,10 @@ The reach decides no link: classes of a crowded region that these links leave in
 with all others of their region, in blocks, first by sketch and then by full shingle sets. So two classes meet if
 they share the first five minima of any tree, however many others do.
 
+Candidates are searched twice. The first search, in two trees, takes next neighbours and one leader per crowded region;
+its confirmed links tie most of a large group of near copies. The second one, in all trees, makes pairs only of classes
+that are still in different components, so a group of n copies costs about n comparisons and not as many as it has pairs.
+
 Candidates whose sign sketches are too far apart to come from similar sets are left out (five standard
 deviations below the threshold); the rest are confirmed on full shingle sets, and components follow by
 alternating large-star and small-star steps over the links.
@@ -41,7 +45,7 @@ LEADERS = 2                 # the classes nearest to the majority of a crowded r
 CROWDED_DEPTHS = (3, 5, 8)
 RANGE_ROWS = 200_000      # sorted rows per task
 BROADCAST_ROWS = 500_000  # of 20 bytes each
-ROUNDS = 2                # of one pair per class, before all pairs that still lie between components are confirmed
+FIRST_TREES = 2           # trees of the first round, which only ties neighbours and one leader per crowded region
 BLOCK, BLOCK_BYTES = 512, 4 << 20  # classes and bytes of text on each side of a comparison of crowded classes
 
 _rng = np.random.default_rng(77_003)
@@ -117,8 +121,11 @@ def least_agreement(similarity: float, bits: int) -> int:
     return int(np.floor(bits * p - 5 * np.sqrt(bits * p * (1 - p))))
 
 
-def tree_pairs(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, need: int) -> np.ndarray:
-    """Candidate pairs of one sorted run of (tree, signature) rows; ``key`` has the tree in column 0."""
+def tree_pairs(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, need: int, root: np.ndarray | None = None,
+               first: bool = False) -> np.ndarray:
+    """Candidate pairs of one sorted run of (tree, signature) rows; ``key`` has the tree in column 0. Classes of one
+    ``root`` are linked already and make no pair; ``first``: next neighbours and one leader only."""
+    root = node if root is None else root
     n, bits = len(node), sketch.shape[1] * 64
     if n < 2:
         return np.zeros((0, 2), np.int64)
@@ -127,18 +134,18 @@ def tree_pairs(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, need: int)
 
     def close(a, b):
         apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1)
-        ok = (bits - apart >= need) & (node[a] != node[b])
+        ok = (bits - apart >= need) & (root[a] != root[b])
         found.append(np.stack([np.minimum(node[a[ok]], node[b[ok]]), np.maximum(node[a[ok]], node[b[ok]])], 1))
 
     common = same.copy()
     run = np.concatenate(([0], np.cumsum(same < CROWD_DEPTH + 1)))
     sparse = np.bincount(run)[run] <= CROWD
-    for step in range(1, min(REACH, n - 1) + 1):
+    for step in range(1, min(1 if first else REACH, n - 1) + 1):
         if step > 1:
             common = np.minimum(common[:-1], same[step - 1:])
         at = np.flatnonzero((common >= 2) & (sparse[:n - step] | (step <= CROWD_REACH)))
         close(at, at + step)
-    for depth in CROWDED_DEPTHS:
+    for depth in CROWDED_DEPTHS[:1] if first else CROWDED_DEPTHS:
         run = np.concatenate(([0], np.cumsum(same < depth + 1)))
         size = np.bincount(run)
         for r in np.flatnonzero(size > REACH):
@@ -146,7 +153,7 @@ def tree_pairs(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, need: int)
             members = np.arange(a, a + size[r])
             raw = np.unpackbits(sketch[members].view(np.uint8), axis=1)
             majority = raw.mean(0) > 0.5
-            lead = members[np.argsort((raw != majority).sum(1), kind="stable")[:LEADERS]]
+            lead = members[np.argsort((raw != majority).sum(1), kind="stable")[:1 if first else LEADERS]]
             for one in lead:
                 close(members, np.full(len(members), one))
     return np.unique(np.concatenate(found), axis=0)
@@ -166,15 +173,16 @@ def crowd_rows(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, (name | np.uint64(1 << 63)).view(np.int64)
 
 
-def candidates(classes: DataFrame, similarity: float, count: int) -> DataFrame:
+def candidates(classes: DataFrame, similarity: float, count: int, first: bool = False) -> DataFrame:
     """(a, b, run): different pairs a < b of class numbers whose signatures meet in some tree, without run, and the
-    classes a of every crowded run, without b."""
-    need = least_agreement(similarity, TREES * DEPTH)
-    trees = classes.select("node", "sketch", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
+    classes a of every crowded run, without b. ``classes``: (node, root, keys, sketch); pairs lie between roots.
+    ``first``: a few pairs of the first trees only."""
+    need, trees = least_agreement(similarity, TREES * DEPTH), FIRST_TREES if first else TREES
+    rows = classes.select("node", "root", "sketch", F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
             t.alias("tree"), F.col("keys").substr(t * 4 * DEPTH + 1, F.lit(4 * DEPTH)).alias("key")))).alias("x"))
-    trees = trees.select(F.col("x.tree").alias("tree"), F.col("x.key").alias("key"), "node", "sketch")
-    parts = max(-(-count * TREES // RANGE_ROWS), 8)
+    rows = rows.select(F.col("x.tree").alias("tree"), F.col("x.key").alias("key"), "node", "root", "sketch")
+    parts = max(-(-count * trees // RANGE_ROWS), 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -185,14 +193,14 @@ def candidates(classes: DataFrame, similarity: float, count: int) -> DataFrame:
         key = np.concatenate([table["tree"].to_numpy()[:, None].astype(np.uint32), key], 1)
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(key), -1)
         node = table["node"].to_numpy()
-        pairs = tree_pairs(key, node, sketch, need)
-        rows, name = crowd_rows(key)
-        for a, b, run in ((pairs[:, 0], pairs[:, 1], None), (node[rows], None, name)):
+        pairs = tree_pairs(key, node, sketch, need, table["root"].to_numpy(), first)
+        crowded, name = crowd_rows(key) if not first else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for a, b, run in ((pairs[:, 0], pairs[:, 1], None), (node[crowded], None, name)):
             none = pa.nulls(len(a), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b),
                                               none if run is None else pa.array(run)], ["a", "b", "run"])
 
-    ordered = trees.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    ordered = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     return ordered.mapInArrow(run, "a long, b long, run long").distinct()
 
 
@@ -293,33 +301,6 @@ def class_texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     return found.join(wanted, ["text_hash", "text_bytes"]).groupBy("node").agg(F.first("text").alias("text"))
 
 
-def linked_in_rounds(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, root) of the components that the confirmed ones among ``pairs`` make.
-
-    A pair whose ends are in one component already decides nothing, so pairs are confirmed in rounds: first one per class,
-    the one whose other end is in most pairs, as those lie in the middle of a group of near copies; then components
-    are folded and pairs inside them dropped before they meet a text. A group of n near copies so costs about n
-    comparisons, not as many as it has pairs. What is left after ``ROUNDS`` is confirmed in full.
-    """
-    left, roots = pairs, None
-    for _ in range(ROUNDS):
-        degree = left.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-        met = left.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(
-            degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
-        pick = lambda own, other, d: F.struct(F.col(own).alias("node"), F.struct(
-            F.col(d).alias("d"), F.col(other).alias("other"), "a", "b").alias("to"))
-        picks = met.select(F.explode(F.array(pick("a", "b", "db"), pick("b", "a", "da"))).alias("x"))
-        taken = materialise(picks.groupBy("x.node").agg(F.max("x.to").alias("to")).select("to.a", "to.b").distinct(), "taken")
-        fresh = confirmed(taken, texts, k, percent)
-        roots = components(fresh if roots is None else roots.toDF("a", "b").union(fresh))
-        root = lambda end: F.coalesce(f"r{end}", end)
-        left = materialise(left.join(taken, ["a", "b"], "left_anti").join(roots.toDF("a", "ra"), "a", "left").join(
-            roots.toDF("b", "rb"), "b", "left").where(root("a") != root("b")).select("a", "b"), "left")
-        if left.isEmpty():
-            return roots
-    return components(roots.toDF("a", "b").union(confirmed(left, texts, k, percent)))
-
-
 def block_pairs(x: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Which members of a cell are to be compared: those of its two blocks, or of its only one, in different components."""
     apart = root[:, None] != root[None, :]
@@ -432,12 +413,20 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         F.min("doc_id").alias("least_id"),
         F.first(F.struct("keys", "sketch", "text_hash", "text_bytes")).alias("of"))  # any member will do
     classes = materialise(folded.select("cls", "least_id", "of.*", F.monotonically_increasing_id().alias("node")), "classes")
-    met = materialise(candidates(classes, percent / 100, classes.count()), "pairs")
-    pairs = met.where("run is null").select("a", "b")
-    near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(classes.select("node", "text_hash", "text_bytes").join(near, "node"), "wanted")
-    texts = materialise(class_texts(docs, wanted, text), "texts")
-    roots = linked_in_rounds(pairs, texts, k, percent)
+    count, similarity = classes.count(), percent / 100
+
+    def links(pairs: DataFrame) -> DataFrame:
+        near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = materialise(classes.select("node", "text_hash", "text_bytes").join(near, "node"), "wanted")
+        return confirmed(pairs, materialise(class_texts(docs, wanted, text), "texts"), k, percent)
+
+    # A first round ties most of a large group of near copies with a few pairs per class. After it, only pairs whose
+    # classes are still in different components are made at all, so a group of n copies costs about n comparisons.
+    rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tied = materialise(candidates(classes.withColumn("root", F.col("node")), similarity, count, first=True).select("a", "b"), "tied")
+    roots = components(links(tied))
+    met = materialise(candidates(rooted(classes), similarity, count), "pairs")
+    roots = components(roots.toDF("a", "b").union(links(met.where("run is null").select("a", "b"))))
     crowd = met.where("run is not null").select(F.col("a").alias("node"), "run")
     more = crowd_links(crowd, classes, roots, docs, text, k, percent)
     if more is not None and not more.isEmpty():
