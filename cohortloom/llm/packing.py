@@ -31,7 +31,7 @@ from cohortloom.llm import vocab, words
 WINDOW = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 18
-SLICE_BYTES = 2 << 20  # text tokenized at a time; what repeats in it is tokenized once
+SLICE_BYTES = 6 << 20  # text tokenized at a time; what repeats in it is tokenized once
 SENTENCE_CUT = 8      # penalty, in tokens of padding, for going on with a document in the next window
 CLAUSE_CUT = 16       # the same where only a clause ends
 INNER_CUT = 128       # the same for a cut inside a clause
@@ -160,11 +160,13 @@ def break_marks(tokenizer: str) -> np.ndarray:
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, doc_id: str = "doc_id",
-         text: str = "text", with_ids: bool = False, cached_pieces: int = vocab.CACHED_PIECES) -> DataFrame:
+         text: str = "text", with_ids: bool = False, cached_pieces: int = vocab.CACHED_PIECES,
+         slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
 
     ``sequence_id`` holds the partition above its 40 low bits, so ids need no pass over all data.
-    ``cached_pieces`` bounds what a worker remembers of tokenized pieces; the result does not depend on it.
+    ``cached_pieces`` bounds what a worker remembers of tokenized pieces and ``slice_bytes`` the text that it works on at a
+    time; the result depends on neither.
     """
     shared, marks = vocab.share(docs.sparkSession, tokenizer), break_marks(tokenizer)
     long = T.LongType()
@@ -183,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                 out[c] if isinstance(out[c], pa.Array) else pa.array(out[c], kinds[c]) for c in names], list(names))
 
         kinds = {c: pa.int64() for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-        for batch in words.slices(batches, "text", SLICE_BYTES):
+        for batch in words.slices(batches, "text", slice_bytes):
             kinds["doc_id"] = batch.schema.field("doc_id").type
             ids, sizes = enc.encode(batch.column("text"))
             ends = np.cumsum(sizes)
