@@ -44,7 +44,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences with their token ids."""
     configure(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True,
-                        cached_pieces=100_000)  # the workers still hold what earlier stages took
+                        cached_pieces=100_000, slice_bytes=2 << 20)  # the workers still hold what earlier stages took
 
 
 STAGES = [("language", known_language), ("quality", good_quality), ("near_duplicates", one_of_each),
