@@ -186,5 +186,5 @@ def methylation_region_anova(t: Tables):
                                 (F.col("vec_id") % 37).cast("double").alias("AGE"))
     cohort = methylation.kept_samples(pheno, F.col("Diagnosis").rlike("AD|CONTROL"))
     sites = methylation.filtered_sites(cells.join(cohort.select("sample_id"), "sample_id", "left_semi"), notes)
-    values = methylation.region_values(sites, notes, spans, cohort, 8)
+    values = methylation.region_values(sites, notes, spans, cohort)
     return methylation.region_tests(values, "r2", cohort)[0]
