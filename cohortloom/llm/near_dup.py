@@ -124,17 +124,21 @@ def least_agreement(similarity: float, bits: int) -> int:
 def tree_pairs(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, need: int, root: np.ndarray | None = None,
                first: bool = False) -> np.ndarray:
     """Candidate pairs of one sorted run of (tree, signature) rows; ``key`` has the tree in column 0. Classes of one
-    ``root`` are linked already and make no pair; ``first``: next neighbours and one leader only."""
+    ``root`` are linked already and make no pair, nor do two of one run of ``crowd_runs``, where all meet anyway;
+    ``first``: next neighbours and one leader only, in crowded runs too."""
     root = node if root is None else root
     n, bits = len(node), sketch.shape[1] * 64
     if n < 2:
         return np.zeros((0, 2), np.int64)
     same = np.cumprod(key[1:] == key[:-1], axis=1).sum(1)  # common prefix with the row before, tree included
     found = []
+    crowd, crowded = crowd_runs(key)
+    if first:
+        crowded = np.zeros(n, bool)
 
     def close(a, b):
         apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1)
-        ok = (bits - apart >= need) & (root[a] != root[b])
+        ok = (bits - apart >= need) & (root[a] != root[b]) & ~(crowded[a] & (crowd[a] == crowd[b]))
         found.append(np.stack([np.minimum(node[a[ok]], node[b[ok]]), np.maximum(node[a[ok]], node[b[ok]])], 1))
 
     common = same.copy()
@@ -159,14 +163,19 @@ def tree_pairs(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, need: int,
     return np.unique(np.concatenate(found), axis=0)
 
 
-def crowd_rows(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, their run) of the runs of a sorted part that the reach does not cover in full, and of its first and last
-    run, which may go on in other parts. Runs are negative numbers, the same in all parts."""
+def crowd_runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run of every row of a sorted part, and whether the reach does not cover it in full, or it is the first or last
+    one, which may go on in other parts."""
     same = np.cumprod(key[1:] == key[:-1], axis=1).sum(1)
     run = np.concatenate(([0], np.cumsum(same < CROWD_DEPTH + 1)))
     take = np.bincount(run) > REACH + 1
     take[[0, -1]] = True
-    rows = np.flatnonzero(take[run])
+    return run, take[run]
+
+
+def crowd_rows(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their run) of the runs that ``crowd_runs`` finds crowded. Runs are negative numbers, the same in all parts."""
+    rows = np.flatnonzero(crowd_runs(key)[1])
     name = np.zeros(len(rows), np.uint64)
     for level in range(CROWD_DEPTH + 1):
         name = words.mix(name + key[rows, level].astype(np.uint64) + np.uint64(1))

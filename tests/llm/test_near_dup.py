@@ -191,3 +191,13 @@ def test_rows_are_judged_one_by_one(spark):
     out = nd.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, note string"), 4)
     assert out.columns == ["doc_id", "text", "note"]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [*(r for r in rows if r[2] == "stays"), rows[-1]]))
+
+
+def test_a_crowd_is_not_paired_twice():
+    """Classes of one crowded run are compared there, so the second search makes no pairs of them, while the first one ties them."""
+    n = 60
+    key = np.concatenate([np.ones((n, 1 + nd.CROWD_DEPTH)), np.arange(3 * n).reshape(n, 3)], 1).astype(np.uint32)
+    sketch = np.zeros((n, 4), np.uint64)
+    assert len(nd.crowd_rows(key)[0]) == n
+    assert len(nd.tree_pairs(key, np.arange(n), sketch, 0)) == 0
+    assert len(nd.tree_pairs(key, np.arange(n), sketch, 0, first=True)) >= n - 1
