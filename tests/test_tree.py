@@ -79,3 +79,15 @@ def test_small_and_equal(spark):
     assert tree.sample_tree(one).count() == 0
     same = spark.createDataFrame([(1, s, 2.0) for s in "abcd"], "feature_id long, sample_id string, value double")
     assert [r["height"] for r in tree.sample_tree(same).collect()] == [0.0] * 3
+
+
+def test_evenly_spread_points_and_copies_give_the_tree_alone(spark):
+    """No block lies apart and many points are equal; what comes out is the tree and not an edge more."""
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(200, 6))
+    values[150:] = values[rng.integers(0, 150, 50)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "node long, x array<double>")
+    away = np.sqrt(((values[:, None] - values[None]) ** 2).sum(2))
+    want, _ = kruskal([(away[i, j], i, j) for i in range(200) for j in range(i + 1, 200)])
+    got = sorted((r["a"], r["b"], r["w"]) for r in tree.candidate_edges(df, 200, block=16).collect())
+    assert [e[:2] for e in got] == [e[:2] for e in want] and np.allclose([e[2] for e in got], [e[2] for e in want])
