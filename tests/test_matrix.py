@@ -1,5 +1,7 @@
 """Matrix operators against brute force in numpy, and their stated properties."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -184,6 +186,77 @@ def test_bmiq_brings_designs_together(spark):
         assert abs(np.quantile(out[9500:], q) - np.quantile(one, q)) < 0.5 * gap
 
 
+def _fit_over_all_bins(counts):
+    """The mixture of one histogram with every bin in every round."""
+    mid = (np.arange(bmiq.BINS) + 0.5) / bmiq.BINS
+    lo, hi = bmiq.START_BORDERS
+    resp = np.stack([mid <= lo, (mid > lo) & (mid < hi), mid >= hi]) * 0.98 + 0.01
+    for _ in range(bmiq.ROUNDS):
+        mass = resp * counts
+        total = np.maximum(mass.sum(axis=1), 1e-9)
+        mean = mass @ mid / total
+        a, b = bmiq._moments_to_shape(mean, (mass * (mid - mean[:, None]) ** 2).sum(axis=1) / total)
+        scale = [math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) for p, q in zip(a, b)]
+        logp = (np.log(total / total.sum()) + scale)[:, None] + np.outer(a - 1, np.log(mid)) + np.outer(b - 1, np.log1p(-mid))
+        new = np.exp(logp - logp.max(axis=0))
+        new /= new.sum(axis=0)
+        moved, resp = np.abs(new - resp).max(), new
+        if moved < bmiq.SETTLED:
+            break
+    order = np.argsort(a / (a + b))
+    return a[order], b[order], resp[order]
+
+
+def _mapped_by_hand(one, two):
+    """All points of the grid, one after the other."""
+    (a1, b1, _), (a2, b2, resp) = _fit_over_all_bins(one), _fit_over_all_bins(two)
+    mid, label, middle = (np.arange(bmiq.BINS) + 0.5) / bmiq.BINS, resp.argmax(axis=0), a2[1] / (a2[1] + b2[1])
+    lo = max(mid[(label == 0) & (mid <= middle)], default=0.0)
+    hi = min(mid[(label == 2) & (mid >= middle)], default=1.0)
+    lo, hi = min(lo, hi), max(lo, hi)
+    grid = np.arange(bmiq.BINS + 1) / bmiq.BINS
+    low = tails.beta_quantile(tails.beta_cdf(grid, a2[0], b2[0]), a1[0], b1[0])
+    high = 1 - tails.beta_quantile(tails.beta_cdf(1 - grid, b2[2], a2[2]), b1[2], a1[2])
+    x0, x1 = grid[grid <= lo].max(), grid[grid >= hi].min()
+    y0, y1 = low[grid <= lo].max(), high[grid >= hi].min()
+    out = np.where(grid <= lo, low, np.where(grid >= hi, high, y0 + (grid - x0) * (y1 - y0) / (x1 - x0)))
+    return np.maximum.accumulate(np.clip(out, 0, 1))
+
+
+def test_bmiq_of_many_samples_is_that_of_each(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    parts, want = [], {}
+    for k, n in enumerate((8, 40, 300, 3000, 12, 64)):
+        one, two = (np.concatenate([rng.beta(a, b, n) for a, b in shapes])
+                    for shapes in (((3, 40), (6, 6), (40, 3)), ((4, 24), (5, 6), (20, 4))))
+        place = [np.minimum((v * bmiq.BINS).astype(int), bmiq.BINS - 1) for v in (one, two)]
+        curve = _mapped_by_hand(*(np.bincount(v, minlength=bmiq.BINS) for v in place))
+        inside = two * bmiq.BINS - place[1]
+        want[k] = np.concatenate([one, curve[place[1]] + (curve[place[1] + 1] - curve[place[1]]) * inside])
+        parts.append(pd.DataFrame({"feature_id": range(6 * n), "sample_id": k, "value": np.concatenate([one, two]),
+                                   "design": ["I"] * 3 * n + ["II"] * 3 * n}))
+    kept = []
+    monkeypatch.setattr(bmiq, "materialise", lambda df, name, f=bmiq.materialise: kept.append(f(df, name)) or kept[-1])
+    long = spark.createDataFrame(pd.concat(parts)).repartition(5)
+    out = bmiq.bmiq(long).toPandas().sort_values(["sample_id", "feature_id"])
+    for k, values in want.items():
+        assert np.allclose(out.loc[out["sample_id"] == k, "value"], values, atol=1e-9, rtol=0)
+    # Lines are kept for bins that hold values of the second design, not for all the bins of every sample.
+    used = long.where("design = 'II'").selectExpr("sample_id", "floor(value * 1000)").distinct().count()
+    assert kept[0].count() == used < len(want) * bmiq.BINS / 2
+
+
+def test_bmiq_leaves_what_it_has_no_curve_for(spark):
+    cells = ([(i, "a", (i + 0.5) / 40, "I" if i % 2 else "II") for i in range(40)]
+             + [(i, "b", (i + 0.5) / 40, "II") for i in range(40)]
+             + [(50, "a", 1.5, "II"), (51, "a", -0.25, "II"), (52, "a", None, "II"), (53, None, 0.5, "II"), (54, "c", None, "I")])
+    long = spark.createDataFrame(cells, "feature_id int, sample_id string, value double, design string")
+    out = {(r["sample_id"], r["feature_id"]): r["value"] for r in bmiq.bmiq(long).collect()}
+    assert len(out) == len(cells)
+    assert all(out[s, f] == v for f, s, v, d in cells if s != "a" or d == "I" or f >= 50)
+    assert any(out[s, f] != v for f, s, v, d in cells if s == "a" and d == "II" and f < 50)
+
+
 def _greedy_by_hand(bad):
     rows, cols = set(range(bad.shape[0])), set(range(bad.shape[1]))
     total, good = bad.sum(), bad.size - bad.sum()

@@ -26,6 +26,18 @@ def test_tails_match_tables():
     assert np.allclose(tails.beta_cdf(x, 1, 1), x)
 
 
+def test_beta_quantile_of_narrow_and_of_many_shapes():
+    # As narrow as a step of the log odds; two steps from a table left a gap of 4e-5 here.
+    share = tails.beta_cdf(0.036, 4.04269571, 24.52226035)
+    assert abs(tails.beta_cdf(tails.beta_quantile(share, 1658.89, 4974.89), 1658.89, 4974.89) - share) < 1e-11
+    rng = np.random.default_rng(2)
+    a, b, p = np.exp(rng.uniform(-3, 10, 500)), np.exp(rng.uniform(-3, 10, 500)), np.exp(-rng.uniform(0, 40, 500))
+    x = tails.beta_quantile(p, a, b)
+    inner = (x > 1e-290) & (x < 1 - 1e-9)
+    assert inner.sum() > 400 and np.allclose(tails.beta_cdf(x, a, b)[inner], p[inner], rtol=1e-8, atol=0)
+    assert tails.beta_quantile([0.0, 1.0], 2.0, 3.0).tolist() == [0.0, 1.0]
+
+
 @pytest.fixture(scope="module")
 def data(spark):
     # Three groups worked by hand: means 2, 4, 9; grand mean 5; SSB = 78, SSW = 6.
